@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_counts
+from . import line_dedup, mixing, neighbours, ngram_join, quality_classifier, quality_rules, substring_dedup, token_counts
 from .common import held_out, table
 
 #: A label-1 score from here on counts as good.
@@ -70,6 +70,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, MIX_SHARE, MIX_EPOCHS).select("doc_id", "lang", "source", "n_copies")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
+    return done.withColumnRenamed("kept", "kept_sha256")
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -79,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op4_quality_rules, op8_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op4_quality_rules, op6_substring_dedup, op7_nearest_neighbours, op8_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
