@@ -37,7 +37,7 @@ class Vocabulary:
                 self.texts[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.scores[piece] = model.get_score(i)
+                self.scores[piece] = float(model.get_score(i))
                 self.texts[i] = piece.replace(MARK, " ").encode()
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, neighbours, ngram_join, quality_classifier, quality_rules, substring_dedup, token_counts
-from .common import held_out, table
+from . import lattice, line_dedup, mixing, neighbours, ngram_join, private_data, quality_classifier, quality_rules, substring_dedup, token_counts
+from .common import bounded_broadcast, held_out, table
 
 #: A label-1 score from here on counts as good.
 GOOD = 0.3
@@ -16,6 +16,7 @@ LINE_RATIO, LINE_PAGES = 0.1, 10
 DOMAINS = ("web", "books", "news", "code")
 DOMAIN_WEIGHTS = {"web": 0.4, "books": 0.3, "news": 0.2, "code": 0.1}
 LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+SAMPLES = 2
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 3, 11
 
 
@@ -47,6 +48,10 @@ from docs d left join kept k using (r)
 """
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -56,7 +61,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain(source: Column) -> Column:
     """The made-up domain of a source, for tables that have none."""
-    number = F.coalesce(F.regexp_extract(source, r"([0-9]{1,9})$", 1).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(source, r"([0-9]{1,9})$", 1).cast("int"), F.lit(0))
+    number = F.coalesce(F.regexp_extract(source, r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
     return F.element_at(F.array(*map(F.lit, DOMAINS)), (number % len(DOMAINS) + 1).cast("int"))
 
 
@@ -65,11 +70,20 @@ def mixed(docs: DataFrame, share: float, epochs: int) -> DataFrame:
     return mixing.mix(docs, levels, [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}], share=share, max_epochs=epochs, seed=MIX_SEED)
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is small enough."""
+    return bounded_broadcast(small, small.count())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixed(docs, MIX_SHARE, MIX_EPOCHS).select("doc_id", "lang", "source", "n_copies")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), k=SAMPLES).drop("ids")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
     return done.withColumnRenamed("kept", "kept_sha256")
@@ -88,7 +102,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op4_quality_rules, op6_substring_dedup, op7_nearest_neighbours, op8_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_private_data, op4_quality_rules, op5_sentencepiece, op6_substring_dedup, op7_nearest_neighbours, op8_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
