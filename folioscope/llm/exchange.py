@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a chunk holds, short of a single longer text.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Bytes of text whose entries a bucket holds, about.
 BUCKET_BYTES = 24_000_000
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -28,7 +28,7 @@ class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
