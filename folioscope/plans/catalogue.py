@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioscope.plans import text_queries
+
+PARTS = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.Q.sql.items()}
