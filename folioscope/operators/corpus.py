@@ -154,9 +154,13 @@ def structure_flags(array: Column) -> dict[str, Column]:
     return {k: F.coalesce(F.arrays_overlap(array, F.array(*map(F.lit, v))), F.lit(False)) for k, v in T.STRUCTURE_TRIGGERS.items()}
 
 
+def _member_of(values: list[str]):
+    return lambda t: t.isin(values)
+
+
 def structure_distribution(corpus: DataFrame) -> DataFrame:
     """For each structure: expressions with it, their share, and occurrences of its triggers."""
-    parts = [F.struct(F.lit(k).alias("structure"), flag.alias("has"), F.size(F.filter("tokens", lambda t, v=v: t.isin(v))).alias("n")) for (k, flag), v in zip(structure_flags(F.col("tokens")).items(), T.STRUCTURE_TRIGGERS.values())]
+    parts = [F.struct(F.lit(k).alias("structure"), flag.alias("has"), F.size(F.filter("tokens", _member_of(v))).alias("n")) for (k, flag), v in zip(structure_flags(F.col("tokens")).items(), T.STRUCTURE_TRIGGERS.values())]
     rows = corpus.select(F.explode(F.array(*parts)).alias("x"))
     return rows.groupBy("x.structure").agg(F.count(F.when(F.col("x.has"), 1)).alias("expressions"), F.avg(F.col("x.has").cast("double")).alias("ratio"), F.sum("x.n").alias("occurrences"))
 
