@@ -137,11 +137,3 @@ def runs(sorted_hashes: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the length at the end."""
     n = len(sorted_hashes)
     return np.flatnonzero(np.r_[True, sorted_hashes[1:] != sorted_hashes[:-1], True]) if n else np.zeros(1, np.int64)
-
-
-def by_owner(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct ids, and of each its values as bytes (uint32)."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order].astype(np.uint32)
-    edges = runs(ids)
-    return ids[edges[:-1]] if len(ids) else ids, [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]

@@ -23,32 +23,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, stash
-from .exchange import SCHEMA, Unpacked, Windows, WordHashes, bucket_count, by_owner, chunks, pack, runs, words_of
+from .exchange import SCHEMA, Unpacked, Windows, WordHashes, bucket_count, chunks, pack, runs, words_of
 
 #: Hit positions travel in cells of so many words.
 CELL = 16
 _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def _aside(names: np.ndarray, values: list[bytes], tags: np.ndarray | None, bucket: int) -> pd.DataFrame:
-    """Results that a chunk knows already, as a row of the exchange."""
-    lengths = np.array([len(v) // 4 for v in values], np.uint32)
-    return pd.DataFrame([(bucket, b"", b"".join(values), names.tobytes(), lengths.tobytes(), b"" if tags is None else tags.tobytes())], columns=_COLUMNS)
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, their tags and spots of rows that carry results."""
+    join = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
+    counts = join("counts", np.uint32)
+    return np.repeat(join("ids", np.int64), counts), np.repeat(join("tags", np.int64), counts), join("positions", np.uint32)
 
 
-def _split_aside(rows: pd.DataFrame) -> tuple[list[pd.DataFrame], pd.DataFrame]:
-    known = rows["hashes"].str.len() == 0
-    out = []
-    for _, r in rows[known].iterrows():
-        lengths = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-        ends = np.cumsum(lengths) * 4
-        tags = np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(len(lengths), np.int64)
-        out.append(pd.DataFrame({"doc_id": np.frombuffer(r["ids"], np.int64), "tag": tags, "spots": [r["positions"][e - 4 * n : e] for e, n in zip(ends, lengths)]}))
-    return out, rows[~known]
+def _dealt(own: np.ndarray, tag: np.ndarray, at: np.ndarray, slices: int, to: int | None = None) -> pd.DataFrame:
+    """Results as few packed rows, by a slice of the documents or all to one bucket."""
+    place = own % slices if to is None else np.full(len(own), to, np.int64)
+    order = np.lexsort((tag, own, place))
+    own, tag, at, place = own[order], tag[order], at[order].astype(np.uint32), place[order]
+    rows = []
+    edges = runs(place)
+    for a, b in zip(edges[:-1], edges[1:]):
+        first = np.flatnonzero(np.r_[True, (own[a + 1 : b] != own[a : b - 1]) | (tag[a + 1 : b] != tag[a : b - 1])]) + a
+        counts = np.diff(np.r_[first, b]).astype(np.uint32)
+        rows.append((int(place[a]), b"", at[a:b].tobytes(), own[first].tobytes(), counts.tobytes(), tag[first].tobytes()))
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _joined(spread: int):
+    """A group function that gives one row for each document of a slice: its spots, each so many words wide, as joined intervals."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        own, tag, at = _flat(rows)
+        order = np.lexsort((at, tag, own))
+        own, tag, at = own[order], tag[order], at[order].astype(np.int64)
+        new = np.r_[True, (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])] if len(own) else np.zeros(0, bool)
+        start = np.flatnonzero(new | np.r_[True, at[1:] > at[:-1] + spread][: len(at)]) if len(own) else np.zeros(0, int)
+        last = np.r_[start[1:], len(at)] - 1
+        pairs = np.stack([at[start], at[last] + spread], 1).astype(np.uint32)
+        first = np.flatnonzero(new[start]) if len(start) else start
+        spots = [pairs[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(pairs)])]
+        return pd.DataFrame({"doc_id": own[start][first], "tag": tag[start][first], "spots": spots})
+
+    return merge
+
+
+_MERGED = "doc_id long, tag long, spots binary"
 
 
 def _hits(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
-    """(doc_id, tag, spots): cells of each document where a probe meets a block of another document, in several rows."""
+    """(doc_id, tag, spots): of each document intervals of cells where a probe meets a block of another document."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, windows = WordHashes(), Windows()
@@ -79,30 +104,31 @@ def _hits(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
                 if marked.any():
                     cell = owner[rows][marked].astype(np.int64) << 32 | (at[rows][marked] // CELL)
                     cell = np.unique(cell)
-                    who, spots = by_owner(cell >> 32, cell & 0xFFFFFFFF)
-                    yield _aside(ids[who], spots, None, int(ids[0] % buckets))
+                    yield _dealt(ids[cell >> 32], np.zeros(len(cell), np.int64), cell & 0xFFFFFFFF, buckets, int(ids[0] % buckets))
             yield pack(hashes[sent], owner[sent], ids, buckets, at[sent])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out, rows = _split_aside(rows)
+        known = rows["hashes"].str.len() == 0
+        own, tag, at = _flat(rows[known])
+        rows = rows[~known]
         if len(rows):
             got = Unpacked(rows)
             order = np.argsort(got.hashes, kind="stable")
-            edges = runs(got.hashes[order])
-            length = np.diff(edges)
-            rows_ = order[np.repeat(length > 1, length)]
-            if len(rows_):
-                part = runs(got.hashes[rows_])
-                own, at = got.ids[rows_], got.positions[rows_]
+            length = np.diff(runs(got.hashes[order]))
+            several = order[np.repeat(length > 1, length)]
+            if len(several):
+                part = runs(got.hashes[several])
+                who, spot = got.ids[several], got.positions[several]
                 run = np.repeat(np.arange(len(part) - 1), np.diff(part))
-                low = np.minimum.reduceat(np.where(at % block == 0, own, _HIGH), part[:-1])
-                high = np.maximum.reduceat(own, part[:-1])
-                marked = (own > low[run]) | (at % block == 0) & (own < high[run])
-                who, spots = by_owner(own[marked], at[marked] // CELL)
-                out.append(pd.DataFrame({"doc_id": who, "tag": np.zeros(len(who), np.int64), "spots": spots}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc_id": np.zeros(0, np.int64), "tag": np.zeros(0, np.int64), "spots": []})
+                low = np.minimum.reduceat(np.where(spot % block == 0, who, _HIGH), part[:-1])
+                high = np.maximum.reduceat(who, part[:-1])
+                marked = (who > low[run]) | (spot % block == 0) & (who < high[run])
+                own, at = np.r_[own, who[marked]], np.r_[at, spot[marked] // CELL]
+                tag = np.zeros(len(own), np.int64)
+        return _dealt(own, tag, at, buckets)
 
-    return docs.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, "doc_id long, tag long, spots binary")
+    met = docs.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, SCHEMA)
+    return met.groupBy("bucket").applyInPandas(_joined(1), _MERGED)
 
 
 _NONE = np.zeros(0, np.uint64)
@@ -115,7 +141,7 @@ def _seen(run: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
-    """(doc_id, tag, spots): starts of windows that a smaller document has too, of candidates (doc_id, text, cells)."""
+    """(doc_id, tag, spots): intervals of words in windows that a smaller document has too, of candidates (doc_id, text, cells)."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, windows = WordHashes(), Windows()
@@ -125,12 +151,11 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
             found, starts = [], []
             for t, cells in zip(frame["text"], frame["cells"]):
                 h = windows.of(names.of(words_of(t)), window)
-                cell = np.frombuffer(b"".join(cells), np.uint32).astype(np.int64)
-                # windows that hold a block of which some word's cell is marked
+                cell = np.frombuffer(cells, np.uint32).astype(np.int64).reshape(-1, 2)
+                # windows that hold a block that begins in a marked cell
                 edge = np.zeros(len(h) + 1, np.int64)
-                cell = cell[cell * CELL < len(h) + window]
-                np.add.at(edge, np.clip(cell * CELL - (window - block), 0, len(h)), 1)
-                np.add.at(edge, np.clip(cell * CELL + CELL, 0, len(h)), -1)
+                np.add.at(edge, np.clip(cell[:, 0] * CELL - (window - block), 0, len(h)), 1)
+                np.add.at(edge, np.clip(cell[:, 1] * CELL, 0, len(h)), -1)
                 start = np.flatnonzero(np.cumsum(edge)[: len(h)] > 0)
                 found.append(h[start])
                 starts.append(start)
@@ -145,26 +170,26 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
             later = np.zeros(len(hashes), bool)
             later[order] = own > low
             if later.any():
-                key = owner[later].astype(np.int64)
-                who, spots = by_owner(key, at[later])
-                yield _aside(ids[who], spots, tags[who], int(ids[0] % buckets))
+                who = owner[later]
+                yield _dealt(ids[who], tags[who], at[later], buckets, int(ids[0] % buckets))
             first = ~later
             yield pack(hashes[first], owner[first], ids, buckets, at[first], tags, short=False)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out, rows = _split_aside(rows)
+        known = rows["hashes"].str.len() == 0
+        own, tag, at = _flat(rows[known])
+        rows = rows[~known]
         if len(rows):
             got = Unpacked(rows, short=False)
             order = np.argsort(got.hashes, kind="stable")
             part = runs(got.hashes[order])
-            own = got.ids[order]
-            later = order[own > np.repeat(np.minimum.reduceat(own, part[:-1]), np.diff(part))]
-            pairs = pd.DataFrame({"doc_id": got.ids[later], "tag": got.tags[later], "at": got.positions[later]})
-            for (who, tag), at in pairs.groupby(["doc_id", "tag"])["at"]:
-                out.append(pd.DataFrame({"doc_id": [who], "tag": [tag], "spots": [at.to_numpy(np.uint32).tobytes()]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc_id": np.zeros(0, np.int64), "tag": np.zeros(0, np.int64), "spots": []})
+            who = got.ids[order]
+            later = order[who > np.repeat(np.minimum.reduceat(who, part[:-1]), np.diff(part))]
+            own, tag, at = np.r_[own, got.ids[later]], np.r_[tag, got.tags[later]], np.r_[at, got.positions[later]]
+        return _dealt(own, tag, at, buckets)
 
-    return candidates.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, "doc_id long, tag long, spots binary")
+    met = candidates.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, SCHEMA)
+    return met.groupBy("bucket").applyInPandas(_joined(window), _MERGED)
 
 
 def text_tag(text: str | None) -> int:
@@ -178,20 +203,20 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     real = rows.where("doc_id is not null")
     buckets = bucket_count(real, "text")
-    cells = stash(_hits(real, block, window, buckets).groupBy("doc_id").agg(F.collect_list("spots").alias("cells")), "cells")
+    cells = stash(_hits(real, block, window, buckets).select("doc_id", F.col("spots").alias("cells")), "cells")
     candidates = real.join(bounded_broadcast(cells, cells.count(), 100_000), "doc_id").select("doc_id", "text", "cells")
-    covered = stash(_repeats(candidates, block, window, buckets).groupBy("doc_id", "tag").agg(F.collect_list("spots").alias("spots")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spots")).alias("found")), "repeats")
+    covered = stash(_repeats(candidates, block, window, buckets).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spots")).alias("found")), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
             for t, found in zip(frame["text"], frame["found"]):
                 words, removed = words_of(t), 0
-                if found is not None and (spots := [s for x in found if x["tag"] == text_tag(t) for s in x["spots"]]):
-                    start = np.frombuffer(b"".join(spots), np.uint32).astype(np.int64)
+                if found is not None and (spots := [x["spots"] for x in found if x["tag"] == text_tag(t)]):
+                    cover = np.frombuffer(b"".join(spots), np.uint32).astype(np.int64).reshape(-1, 2)
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + window, -1)
+                    np.add.at(edge, cover[:, 0], 1)
+                    np.add.at(edge, cover[:, 1], -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     removed = int(gone.sum())
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
