@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,4 +59,6 @@ def labelled_ids(labels: DataFrame, label: str, max_rows: int, seed: int = 17) -
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name; Python workers started from here on find this package where it lies, if they see that folder."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

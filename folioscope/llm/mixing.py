@@ -39,7 +39,7 @@ def _deal(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Give each node (w, cap) its part of its parent's budget: min(cap, level * w), the level chosen so that the parts add up.
 
     In order of cap / w the first children are filled; the k-th is, if dealing what the earlier ones leave to it and all later ones
-    by weight would exceed its cap.
+    by weight would exceed its cap. The level is that of the first child that isn't filled, the largest of those that aren't.
     """
     by = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
     order = by.orderBy("__fill", *[c for c in nodes.columns if c.startswith("__l")])
@@ -51,7 +51,7 @@ def _deal(nodes: DataFrame, parent: list[str]) -> DataFrame:
         .withColumn("__rest", F.sum("__w").over(rest))
         .withColumn("__level", (F.col("__budget") - F.col("__taken")) / F.col("__rest"))
         .withColumn("__full", F.col("__fill") <= F.col("__level"))
-        .withColumn("__open", F.min(F.when(~F.col("__full"), F.col("__level"))).over(by))
+        .withColumn("__open", F.max(F.when(~F.col("__full"), F.col("__level"))).over(by))
     )
     part = F.when(F.col("__full"), F.col("__cap")).otherwise(F.col("__open") * F.col("__w"))
     return dealt.withColumn("__part", F.least(F.greatest(part, F.lit(0.0)), F.col("__cap")))

@@ -20,7 +20,7 @@ from .common import WORD, labelled_ids, let
 SYMBOLS = "[#*$%&|<>]"
 
 #: What rules may test, each a ratio or count made from the statistics.
-FEATURES = ("n_words", "mean_chars", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "distinct_ratio", "words_per_line")
+FEATURES = ("n_words", "mean_chars", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "stutter_ratio", "words_per_line")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -33,17 +33,17 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column __stats: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_distinct, n_lines (long)."""
+    """docs with a column __stats: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_stutters, n_lines (long)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     by_words = let(
         F.regexp_extract_all(whole, F.lit(f"({WORD})"), 1),
         lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), _repeat_words(w).cast("long").alias("n_repeat_words")
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_stutters"), _repeat_words(w).cast("long").alias("n_repeat_words")
         ),
     )
     lines = let(F.filter(F.split(whole, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     out = docs.withColumn("__w", by_words).withColumn("__n", lines)
-    parts = [F.col(f"__w.{c}").alias(c) for c in ("n_words", "word_chars", "n_distinct", "n_repeat_words")] + [F.col(f"__n.{c}").alias(c) for c in ("n_lines", "n_dup_lines")]
+    parts = [F.col(f"__w.{c}").alias(c) for c in ("n_words", "word_chars", "n_stutters", "n_repeat_words")] + [F.col(f"__n.{c}").alias(c) for c in ("n_lines", "n_dup_lines")]
     parts += [F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long").alias("n_upper")]
     return out.withColumn("__stats", F.struct(*parts)).drop("__w", "__n")
 
@@ -54,7 +54,7 @@ def feature(name: str, stats: str = "__stats") -> Column:
     per = lambda a, b: F.when(s(b) > 0, s(a) / s(b)).otherwise(0.0)
     made = {
         "n_words": s("n_words"), "mean_chars": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"),
-        "repeat_ratio": per("n_repeat_words", "n_words"), "upper_ratio": per("n_upper", "word_chars"), "distinct_ratio": per("n_distinct", "n_words"), "words_per_line": per("n_words", "n_lines"),
+        "repeat_ratio": per("n_repeat_words", "n_words"), "upper_ratio": per("n_upper", "word_chars"), "stutter_ratio": per("n_stutters", "n_words"), "words_per_line": per("n_words", "n_lines"),
     }
     return made[name]
 
