@@ -101,8 +101,8 @@ def _thresholds(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
 
 
-def _grow(x: np.ndarray, y: np.ndarray, max_tests: int, bins: int) -> Rule:
-    """Add the test of most FOIL gain until no kept text is covered."""
+def _grow(x: np.ndarray, y: np.ndarray, max_tests: int, bins: int, barred: frozenset) -> Rule:
+    """Add the test of most FOIL gain until no kept text is covered; a rule does not begin with a barred feature."""
     rule, here = Rule(), np.ones(len(x), bool)
     for _ in range(max_tests):
         p, n = (here & y).sum(), (here & ~y).sum()
@@ -110,7 +110,7 @@ def _grow(x: np.ndarray, y: np.ndarray, max_tests: int, bins: int) -> Rule:
             break
         base, best = np.log2(p / (p + n)), (1e-9, None)
         for i, cuts in enumerate(_thresholds(x[here], bins)):
-            for v in cuts:
+            for v in () if not rule.tests and FEATURES[i] in barred else cuts:
                 low = here & (x[:, i] <= v)
                 for op, hit in (("<=", low), (">", here & ~low)):
                     if (pp := (hit & y).sum()) and (gain := pp * (np.log2(pp / hit.sum()) - base)) > best[0]:
@@ -133,20 +133,26 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return max(heads, key=lambda r: (_worth(r, x, y), -len(r.tests))) if heads else rule
 
 
-def cover(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, max_tests: int = 4, bins: int = 24, least: float = 0.9, seed: int = 3) -> DecisionList:
-    """Sequential covering of the bad rows: grow, prune, keep if precise on rows held back, take the covered rows out, again."""
+def cover(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, max_tests: int = 4, bins: int = 24, least: float = 0.97, seed: int = 3) -> DecisionList:
+    """Sequential covering of the bad rows: grow, prune, keep if precise on rows held back, take the covered rows out, again.
+
+    A rule that isn't precise is given up, and so is its first feature as a beginning until another rule has been found.
+    """
     order = np.random.default_rng(seed).permutation(len(x))
     x, bad = x[order], bad[order]
     rules: list[Rule] = []
-    for _ in range(max_rules):
-        if bad.sum() < 5 or bad.all():
-            break
+    barred: frozenset = frozenset()
+    while len(rules) < max_rules and len(barred) < len(FEATURES) and bad.sum() >= 5 and not bad.all():
         back = np.arange(len(x)) % 3 == 0
-        rule = _prune(_grow(x[~back], bad[~back], max_tests, bins), x[back], bad[back])
-        hit = rule.holds(x)
-        if not rule.tests or (hit & bad).sum() < 4 or (hit & bad).sum() < least * hit.sum() or _worth(rule, x[back], bad[back]) < 2 * least - 1:
+        rule = _prune(_grow(x[~back], bad[~back], max_tests, bins, barred), x[back], bad[back])
+        if not rule.tests:
             break
+        hit = rule.holds(x)
+        if (hit & bad).sum() < 4 or (hit & bad).sum() < least * hit.sum() or _worth(rule, x[back], bad[back]) < 2 * least - 1:
+            barred |= {rule.tests[0][0]}
+            continue
         rules.append(rule)
+        barred = frozenset()
         x, bad = x[~hit], bad[~hit]
     return DecisionList(rules)
 
