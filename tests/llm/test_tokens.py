@@ -28,9 +28,9 @@ def test_counts_equal_the_library(spark, odd_docs, no_docs):
 
 def every_segmentation(sampler, text):
     """Probabilities of all segmentations, by listing them."""
-    lat = lattice.Lattices(pieces.units(text), sampler.trie)
+    lat = lattice.Lattices(sampler.trie)
     total = [((), 1.0)]
-    for i in range(len(pieces.units(text))):
+    for i in lat.number_of([sampler.vocabulary.fine_units(text)]).tolist():
         found, todo = [], [(int(lat.begin[i]), (), 1.0)]
         while todo:
             s, path, p = todo.pop()
@@ -38,7 +38,7 @@ def every_segmentation(sampler, text):
                 found.append((path, p))
                 continue
             for e in lat.open(s):
-                todo.append((int(lat.end(np.array([e]))[0]), (*path, int(lat.piece[e])), p * float(lat.share[e])))
+                todo.append((int(lat.end[e]), (*path, int(lat.piece[e])), p * float(lat.share[e])))
         total = [(a + b, x * y) for a, x in total for b, y in found]
     out = Counter()
     for path, p in total:
