@@ -87,6 +87,11 @@ def _by_group(key: str, solve):
 # ---- pixels and rectangles: numpy on single rows ---------------------------------------------------------------------------------
 
 
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    """Positive for a left turn at b."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise, by monotone chains."""
     p = np.unique(points, axis=0)
@@ -96,7 +101,7 @@ def hull(points: np.ndarray) -> np.ndarray:
     for run in (p, p[::-1]):
         side: list[np.ndarray] = []
         for q in run:
-            while len(side) > 1 and np.cross(side[-1] - side[-2], q - side[-2]) <= 0:
+            while len(side) > 1 and _turn(side[-2], side[-1], q) <= 0:
                 side.pop()
             side.append(q)
         half += side[:-1]
