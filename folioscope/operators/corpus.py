@@ -149,9 +149,11 @@ def similar_cooccurrence(page_counts: DataFrame) -> DataFrame:
     return full.select("subgroup", F.coalesce("pages", F.lit(0)).alias("pages"), "events")
 
 
-def structure_flags(array: Column) -> dict[str, Column]:
-    """Whether each structure's triggers occur."""
-    return {k: F.coalesce(F.arrays_overlap(array, F.array(*map(F.lit, v))), F.lit(False)) for k, v in T.STRUCTURE_TRIGGERS.items()}
+def structures(array: Column) -> Column:
+    """array<string> of the structures whose triggers occur; the distinct tokens are found once, then looked into."""
+    some = lambda d, v: F.arrays_overlap(d, F.array(*map(F.lit, v)))
+    listed = lambda d: F.array_compact(F.array(*[F.when(some(d, v), F.lit(k)) for k, v in T.STRUCTURE_TRIGGERS.items()]))
+    return F.transform(F.array(F.array_distinct(array)), listed)[0]
 
 
 def _member_of(values: list[str]):
@@ -159,32 +161,36 @@ def _member_of(values: list[str]):
 
 
 def structure_distribution(corpus: DataFrame) -> DataFrame:
-    """For each structure: expressions with it, their share, and occurrences of its triggers."""
-    parts = [F.struct(F.lit(k).alias("structure"), flag.alias("has"), F.size(F.filter("tokens", _member_of(v))).alias("n")) for (k, flag), v in zip(structure_flags(F.col("tokens")).items(), T.STRUCTURE_TRIGGERS.values())]
-    rows = corpus.select(F.explode(F.array(*parts)).alias("x"))
-    return rows.groupBy("x.structure").agg(F.count(F.when(F.col("x.has"), 1)).alias("expressions"), F.avg(F.col("x.has").cast("double")).alias("ratio"), F.sum("x.n").alias("occurrences"))
-
-
-def _present(array: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(flag, F.lit(k)) for k, flag in structure_flags(array).items()]))
+    """For each structure: expressions with it, their share, and occurrences of its triggers, from one pass over distinct structures."""
+    kinds = {t: k for k, v in T.STRUCTURE_TRIGGERS.items() for t in v}
+    held = corpus.select(F.filter("tokens", _member_of(list(kinds))).alias("t"))
+    sums = []
+    for k, v in T.STRUCTURE_TRIGGERS.items():
+        n = F.size(F.filter("t", _member_of(v)))
+        sums += [F.sum(n).alias(f"{k}|n"), F.count(F.when(n > 0, 1)).alias(f"{k}|e")]
+    wide = held.agg(*sums, F.count(F.lit(1)).alias("all"))
+    rows = [F.struct(F.lit(k).alias("structure"), F.col(f"{k}|e").alias("expressions"), T.ratio(F.col(f"{k}|e").cast("double"), F.col("all")).alias("ratio"), F.col(f"{k}|n").alias("occurrences")) for k in T.STRUCTURE_TRIGGERS]
+    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def structure_patterns(corpus: DataFrame) -> DataFrame:
     """Exact sets of structures, their counts and shares."""
-    by = corpus.groupBy(F.array_join(F.array_sort(_present(F.col("tokens"))), "+").alias("pattern")).agg(F.count(F.lit(1)).alias("count"))
+    by = corpus.groupBy(F.array_join(F.array_sort(structures(F.col("tokens"))), "+").alias("pattern")).agg(F.count(F.lit(1)).alias("count"))
     return by.withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy()))
 
 
 def structure_grid(corpus: DataFrame) -> DataFrame:
-    """Expressions for every ordered pair of structures, the diagonal included, zeros kept."""
-    pairs = corpus.select(F.explode(_present(F.col("tokens"))).alias("a"), _present(F.col("tokens")).alias("all")).select("a", F.explode("all").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
+    """Expressions for every ordered pair of structures, the diagonal included, zeros kept; sets are counted before they are paired."""
+    sets = corpus.groupBy(structures(F.col("tokens")).alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = sets.select(F.explode("s").alias("a"), "s", "c").select("a", F.explode("s").alias("b"), "c").groupBy("a", "b").agg(F.sum("c").alias("count"))
     names = list(T.STRUCTURE_TRIGGERS)
     grid = corpus.sparkSession.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     return F.broadcast(grid).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def structure_complexity(corpus: DataFrame) -> DataFrame:
-    n = F.size(_present(F.col("tokens")))
+    n = F.col("n")
+    corpus = corpus.select(F.size(structures(F.col("tokens"))).alias("n"))
     shares = [F.avg((n >= k).cast("double")).alias(f"at_least_{k}") for k in (1, 2, 3, 4)]
     return corpus.agg(*shares, F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("p50"), F.percentile(n, F.lit(0.9)).alias("p90"), F.max(n).cast("long").alias("max"))
 
@@ -192,7 +198,7 @@ def structure_complexity(corpus: DataFrame) -> DataFrame:
 def corpus_profile(corpus: DataFrame, by: str) -> DataFrame:
     """One row a group: scale, lengths, rare and duplicate ratios, structure shares."""
     lengths = length_distribution(corpus, F.size("tokens"), by).select(by, "mean", "p50", "p90", "max")
-    flags = corpus.groupBy(by).agg(*[F.avg(f.cast("double")).alias(f"{k}_ratio") for k, f in structure_flags(F.col("tokens")).items() if k in ("frac", "sup", "sub", "sqrt")])
+    flags = corpus.select(by, structures(F.col("tokens")).alias("s")).groupBy(by).agg(*[F.avg(F.array_contains("s", k).cast("double")).alias(f"{k}_ratio") for k in ("frac", "sup", "sub", "sqrt")])
     return scale(corpus, by).join(lengths, by).join(flags, by)
 
 
