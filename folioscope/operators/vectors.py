@@ -18,13 +18,13 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its length; zeros stay."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x.cast("double") / norm(a)).otherwise(0.0))
+    """The vector over its length; zeros stay. The length is bound once: a column would be worked out again for each component."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))[0]
 
 
 def normalized(rows: DataFrame, vector: str) -> DataFrame:
-    """rows with vector scaled to length 1; the length is computed once a row."""
-    return rows.withColumn("__n", norm(F.col(vector))).withColumn(vector, F.transform(vector, lambda x: F.when(F.col("__n") > 0, x.cast("double") / F.col("__n")).otherwise(0.0))).drop("__n")
+    """rows with vector scaled to length 1."""
+    return rows.withColumn(vector, unit(F.col(vector)))
 
 
 def fused(a: Column, b: Column) -> Column:

@@ -72,8 +72,8 @@ def one_file_each(spark: SparkSession, root: str, dataset: str, parts: tuple[str
 
 #: Readers by kind of dataset; a new kind is a new entry.
 LOADERS = {
-    "pages": lambda spark, path, name: expressions(pages(spark, path), name), "caption": captions, "hme": lambda spark, path, name: captions(spark, path, name, keep_empty=True),
-    "mne": lambda spark, path, name: captions(spark, path, name, white_space=True), "files": one_file_each,
+    "pages": lambda spark, path, name: expressions(pages(spark, path), name), "caption": captions, "caption_with_empty": lambda spark, path, name: captions(spark, path, name, keep_empty=True),
+    "caption_by_space": lambda spark, path, name: captions(spark, path, name, white_space=True), "files": one_file_each,
 }
 
 

@@ -86,7 +86,7 @@ def test_captions(spark, tmp_path):
     (tmp_path / "caption.txt").write_text("a\tx^{2}\nb\t\nbad\n")
     rows = A.load(spark, "caption", str(tmp_path / "caption.txt"), "c").collect()
     assert [(r.sample_id, r.ocr, r.line_id) for r in rows] == [("a", "x^{2}", "1")]
-    assert A.load(spark, "hme", str(tmp_path / "caption.txt"), "h").count() == 2
+    assert A.load(spark, "caption_with_empty", str(tmp_path / "caption.txt"), "h").count() == 2
     with pytest.raises(ValueError):
         A.load(spark, "nothing", "", "x")
 
