@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
