@@ -76,6 +76,8 @@ def test_samples_odd_rows(odd_docs, no_docs):
     again = lattice.segmentations(odd_docs.repartition(3), k=2).collect()
     assert Counter((r.doc_id, r.rank, r.ids_sha256) for r in rows) == Counter((r.doc_id, r.rank, r.ids_sha256) for r in again)
     assert lattice.segmentations(no_docs).count() == 0
+    small = lattice.segmentations(odd_docs, k=2, kept_states=300, chunk_chars=500).collect()
+    assert Counter((r.doc_id, r.rank, r.ids_sha256) for r in rows) == Counter((r.doc_id, r.rank, r.ids_sha256) for r in small)
 
 
 def plain_spans(t):
