@@ -78,6 +78,16 @@ def test_split_solver_is_bounded(spark):
     assert S.constrained_split(pages, "page", seeds=(1, 2)).count() == 5
 
 
+def test_constrained_split_takes_all_conversations_and_words(spark, tmp_path):
+    from folioscope.plans import catalogue
+
+    words = {i: [f"w{(i * 7 + j * j) % 50:02d}" for j in range(20)] + ["zz"] * (i == 190) for i in range(200)}
+    spark.createDataFrame([(i, 0, "user", " ".join(w)) for i, w in words.items()], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    split = {r.conv_id: r.split for r in catalogue.queries()["constrained_split"](spark, str(tmp_path)).collect()}
+    assert set(split) == set(words) and split[190] == "train"
+    assert {w for i, s in split.items() if s == "train" for w in words[i]} == {w for v in words.values() for w in v}
+
+
 def test_kmeans_and_pca_by_group(spark):
     rng = np.random.default_rng(0)
     axes = np.eye(32)[:4]
