@@ -47,12 +47,17 @@ def knn(rows: DataFrame, key: str, vector: str, queries: Column, k: int, block_r
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "neighbour": [], "cosine": []}).astype({"query": "int64", "neighbour": "int64"})
-        x, ids, out = np.stack(a[vector].to_numpy()), a[key].to_numpy(), []
-        for q, v in zip(b["query"], b["v"]):
-            c = np.where(ids == q, -np.inf, np.round(x @ v, 9))
-            top = np.lexsort((ids, -c))[:k]
-            top = top[np.isfinite(c[top])]
-            out.append(pd.DataFrame({"query": q, "neighbour": ids[top], "cosine": c[top]}))
+        x, ids, asked_ids, v, out = np.stack(a[vector].to_numpy()), a[key].to_numpy(), b["query"].to_numpy(), np.stack(b["v"].to_numpy()), []
+        for s in range(0, len(v), 256):
+            q = asked_ids[s : s + 256]
+            c = np.round(v[s : s + 256] @ x.T, 9)
+            c[(q[:, None] == ids) | ~np.isfinite(c)] = -np.inf
+            least = np.partition(c, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            r, j = np.nonzero((c >= least[:, None]) & np.isfinite(c))
+            by = np.lexsort((ids[j], -c[r, j], r))
+            r, j = r[by], j[by]
+            top = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query": q[r[top]], "neighbour": ids[j[top]], "cosine": c[r[top], j[top]]}))
         return pd.concat(out, ignore_index=True)
 
     near = here.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(best, "query long, neighbour long, cosine double")

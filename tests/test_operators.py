@@ -99,6 +99,19 @@ def test_kmeans_and_pca_by_group(spark):
     assert x.shape == (80, 3) and np.allclose(x.mean(0), 0, atol=1e-9)
 
 
+def test_neighbour_graph_of_all_vectors_equals_brute_force(spark, tmp_path):
+    from folioscope.plans import catalogue
+
+    x = np.random.default_rng(5).normal(0, 1, (300, 8)).astype(np.float32).astype(float)
+    x[210:220] = x[3]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.src, r.dst) for r in catalogue.queries()["neighbour_graph_all"](spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    np.fill_diagonal(c, -np.inf)
+    assert got == {(min(i, int(j)), max(i, int(j))) for i in range(300) for j in np.lexsort((np.arange(300), -c[i]))[:5]}
+
+
 def test_fusion_has_length_one(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, b array<double>").select(V.fused(V.unit(F.col("a")), V.unit(F.col("b"))).alias("v"))
     assert np.allclose(df.first().v, np.array([0.6, 0.8, 1, 0]) / np.sqrt(2))
