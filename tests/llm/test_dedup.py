@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import exchange, line_dedup, ngram_join, substring_dedup
+from folioscope.llm import exchange, line_dedup, ngram_join, queries, substring_dedup
 
 
 def by_id(df):
@@ -165,6 +165,19 @@ def test_lines(spark, odd_docs, monkeypatch, rows):
     assert out.columns == [*odd_docs.columns, "n_lines", "n_dropped"] and out.count() == odd_docs.count()
 
 
+def test_lines_of_small_hosts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"menu\nown {i}" + "\nfoot" * (i < 9), "en", "twenty", 5) for i in range(20)] + [(20 + i, f"all\nfirst {i}", "en", "three", 5) for i in range(3)] + [(23, "alone", "en", "one", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter(r[0] for r in brute_lines([(r[3], r[1]) for r in rows], 0.1, 2).elements())
+    got = {r.doc_id: r for r in queries.op2_line_dedup_all_hosts(spark, str(tmp_path)).collect()}
+    assert Counter(r.kept_sha256 for r in got.values()) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in want.elements())
+    assert [got[i].n_dropped for i in (0, 10, 20, 23)] == [2, 1, 1, 0]
+    assert Counter(r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()) == want
+
+
 def test_lines_empty(no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
 
