@@ -68,6 +68,15 @@ def test_samples(text):
             assert abs(first[ids] / n - p) < 5 * math.sqrt(p / n) and abs(weight[ids] / n - 1) < 0.2
 
 
+def test_runs_of_spaces_are_in_the_lattice():
+    sampler = lattice.Sampler()
+    runs = {i: len(p) for p, i in sampler.vocabulary.ids.items() if len(p) > 1 and set(p) == {"▁"}}
+    every = every_segmentation(sampler, " " * 15)
+    assert len(runs) == 14 and set(runs) <= {x for ids in every for x in ids}
+    two = every_segmentation(sampler, " a")
+    assert sum(p for ids, p in two.items() if set(ids) & set(runs)) > 0
+
+
 def test_samples_odd_rows(odd_docs, no_docs):
     rows = lattice.segmentations(odd_docs, k=2).collect()
     assert all(r.decoded for r in rows)
