@@ -3,7 +3,7 @@
 Base spans come from fixed patterns, leftmost and not overlapping within a kind, over the whole text; what fails a pattern's check is
 dropped. The network reads overlapping windows of the text; where windows overlap, their emissions are averaged, those near a window's
 edge counting less, and one Viterbi pass over each stretch of joined windows settles all tags together. All windows that hold a digit, an
-at sign or a bracketed "at" are read: a span must hold one of these, so that all other windows can only be untagged. What it finds is added
+at sign or an "at" in brackets or braces, in either case and with blanks or not, are read: a span must hold one of these, so that all other windows can only be untagged. What it finds is added
 if its digits or parts make sense for the kind and it overlaps no base span.
 
 Training spans are made by a seeded generator of bounded size (``examples``), as text with labelled spans.
@@ -35,8 +35,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_GATE = re.compile(r"[0-9@]|[\[(]at[\])]")
-_AT = re.compile(r"@|[\[(]at[\])]")
+_GATE = re.compile(r"[0-9@]|[\[({]\s*[aA][tT]\s*[\])}]")
+_AT = re.compile(r"@|[\[({]\s*[aA][tT]\s*[\])}]")
+_DOT = re.compile(r"\w(\.|\s?[\[({]\s*[dD][oO][tT]\s*[\])}]\s?)\w")
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +83,7 @@ def sensible(kind: str, found: str) -> bool:
     digits = digits_of(found)
     if kind == "email":
         parts = _AT.split(found)
-        return len(parts) == 2 and all(re.search(r"[^\W_]", p) for p in parts) and bool(re.search(r"\w(\.|\s?[\[(]dot[\])]\s?)\w", parts[1]))
+        return len(parts) == 2 and all(re.search(r"[^\W_]", p) for p in parts) and bool(_DOT.search(parts[1]))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]+(\s?[.\[\]]+\s?[0-9]+){3}", found)) and _octets(re.findall("[0-9]+", found))
     if kind == "card":
@@ -111,9 +112,10 @@ def _card_number(rng: np.random.Generator) -> str:
 def _made(rng: np.random.Generator, kind: str) -> str:
     pick = lambda *x: x[rng.integers(0, len(x))]
     if kind == "email":
-        user = _word(rng).encode("ascii", "ignore").decode() + pick("", ".", "_") + str(rng.integers(0, 99))
+        user = _word(rng).encode("ascii", "ignore").decode() + pick("", ".", "_") + pick(str(rng.integers(0, 99)), _word(rng).encode("ascii", "ignore").decode() or "user")
         host = (_word(rng).encode("ascii", "ignore").decode() or "host") + pick("", "-x")
-        return user + pick("@", "@", " [at] ", " (at) ", " @ ") + host + pick(".", ".", " [dot] ") + pick("com", "org", "de", "example")
+        at = pick("@", "@", "@", "@", " [at] ", " (at) ", " {at} ", " [AT] ", " [ at ] ", " @ ")
+        return user + at + host + pick(".", ".", ".", " [dot] ", " [DOT] ", " {dot} ", " [ dot ] ") + pick("com", "org", "de", "example")
     if kind == "ip":
         return pick(".", ".", " . ", "[.]").join(str(n) for n in rng.integers(0, 256, 4))
     if kind == "card":

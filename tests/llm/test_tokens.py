@@ -143,6 +143,15 @@ def test_tagger_finds_held_out_spans_and_reconciles_windows():
     assert base == [] and [text[a:b] for k, a, b in every if k == "phone"] == ["(555) 555-0123"]
 
 
+def test_written_out_addresses_without_digits_are_found():
+    model = private_data.default_tagger()
+    for mail in ("anver [AT] rein [DOT] com", "anver {at} rein {dot} org", "anver [ at ] rein [ dot ] com"):
+        text = "word " * 30 + "mail " + mail + " now " + "word " * 30
+        assert private_data.windows_of(text) and private_data.sensible("email", mail)
+        (base, every), = private_data.find([text], model)
+        assert base == [] and [text[a:b] for k, a, b in every if k == "email"] == [mail]
+
+
 def test_clean_text_stays_clean():
     model = private_data.default_tagger()
     texts = ["In 2024 there were 12 of 300 such, 3.5 per cent.", "plain prose without numbers " * 30, "", "page 12, line 7; v1.2.3"]
