@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -53,16 +56,32 @@ def reduced(rows: DataFrame, vector: str, dims: int) -> DataFrame:
     return model.transform(data).withColumn("reduced", vector_to_array("__r")).drop("features", "__r")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by weighted label propagation over edges (src, dst, weight); ties go to the smaller label.
+def _written(rows: DataFrame) -> DataFrame:
+    """rows written to the folder of spark.checkpoint.dir, or a local one where it is unset, and read back."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    path = f"{folder.rstrip('/')}/communities-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def communities(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, community) by weighted label propagation over edges (src, dst, weight), until no label changes; ties go to the smaller label.
 
-    Synchronous rounds that keep a node's own label as one more vote, so that two labels do not swap for ever.
+    Synchronous rounds that keep a node's own label as one more vote, so that two labels do not swap for ever; votes are compared to six
+    decimals, as the order of a sum is not fixed. The labels are written out each round; labels that still change after max_rounds fail.
     """
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    both = _written(both)
     top = both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")
-    both = both.union(top)
+    both = _written(both.union(top))
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("b")).select("node", (-F.col("b.c")).alias("community"))
-    return labels
+    for _ in range(max_rounds):
+        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 6).alias("w"))
+        best = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("b")).select("node", (-F.col("b.c")).alias("community"))
+        new = _written(best)
+        changed = new.join(labels.withColumnRenamed("community", "old"), "node").where("community != old").count()
+        labels = new
+        if not changed:
+            return labels
+    raise RuntimeError(f"{changed} labels still change after {max_rounds} rounds")

@@ -30,4 +30,4 @@ def vector_communities(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     near = V.knn(rows, "vec_id", "embedding", F.lit(True), 5)
     edges = near.select(F.col("query").alias("src"), F.col("neighbour").alias("dst"), (1 / (1e-6 + 1 - F.col("cosine"))).alias("weight"))
-    return M.communities(edges, 3)
+    return M.communities(edges)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import layout as Y
+from folioscope.operators import models as M
 from folioscope.operators import relations as R
 from folioscope.operators import split_solver as S
 from folioscope.operators import vectors as V
@@ -112,6 +113,13 @@ def test_neighbour_graph_of_all_vectors_equals_brute_force(spark, tmp_path):
     assert got == {(min(i, int(j)), max(i, int(j))) for i in range(300) for j in np.lexsort((np.arange(300), -c[i]))[:5]}
 
 
+def test_communities_follow_the_graph_to_its_end(spark):
+    path = spark.createDataFrame([(i, i + 1, 20.0 - i) for i in range(11)], "src long, dst long, weight double")
+    assert {(r.node, r.community) for r in M.communities(path).collect()} == {(i, 0) for i in range(12)}
+    with pytest.raises(RuntimeError, match="still change"):
+        M.communities(path, 3)
+
+
 def test_fusion_has_length_one(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, b array<double>").select(V.fused(V.unit(F.col("a")), V.unit(F.col("b"))).alias("v"))
     assert np.allclose(df.first().v, np.array([0.6, 0.8, 1, 0]) / np.sqrt(2))
