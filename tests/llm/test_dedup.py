@@ -37,8 +37,8 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def check_join(df):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()}
+def check_join(df, **params):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, **params).collect()}
     assert got == brute_components(by_id(df))
 
 
@@ -73,8 +73,28 @@ def families(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
 
 
-def test_join_families(families):
-    check_join(families)
+@pytest.mark.parametrize("in_memory", [1, 6, 256])
+def test_join_families(families, in_memory):
+    check_join(families, in_memory=in_memory)
+
+
+def test_join_near_copies(spark):
+    """One text in many edited copies: few edits link with the original, many edits with nothing; some copies are shorter."""
+    rng = random.Random(12)
+    first, texts = [f"w{i}" for i in range(120)], []
+    for k in range(400):
+        w = list(first)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 7])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w[: len(w) - rng.choice([0, 0, 0, 4, 15, 40])]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    check_join(df)
+    check_join(df, in_memory=20)
+
+
+def test_join_words_with_nul(spark):
+    df = spark.createDataFrame([(1, "a\x00b"), (2, "a b"), (3, "A\x00b"), (4, "a\x00 b")], "doc_id long, text string")
+    check_join(df)
 
 
 def test_join_small_chunks(families, monkeypatch):
