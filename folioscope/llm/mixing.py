@@ -10,7 +10,8 @@ document's id, whose tokens fit what is left.
 
 Defined results: null levels are nodes named ""; a null or empty text has no tokens and comes with every epoch that is whole, or
 within the prefix; null ids are ordered as ""; rows with the same id are taken together; a leaf without weight gets the default
-weight; an empty table gives an empty table; other columns pass through, whatever their names.
+weight; texts of any length are counted whole; an empty table gives an empty table; other columns pass through, whatever their
+names, but one named as the copies is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, stash
+from .common import BROADCAST_ROWS, WORD, nested, stash, unnested
 
 #: Leading hex digits of the order key by which a leaf's tokens are summed before its boundary bucket is looked into.
 BUCKET_DIGITS = 3
@@ -85,9 +86,9 @@ def mix(docs: DataFrame, levels: list[Column], weights: list[dict[str, float]],
     (a count decides) and joined in slices otherwise.
     """
     keys = [f"__l{i}" for i in range(len(levels))]
-    kept = [c for c in docs.columns if c != n_copies]
-    placed = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.coalesce(x.cast("string"), F.lit("")).alias(k) for x, k in zip(levels, keys)], order_key(F.col(doc_id), seed).alias("__key"))
-    narrow = stash(placed.select(*keys, "__key", tokens_in(F.col(text)).alias("__tokens")), "mix")
+    named = {k: F.coalesce(x.cast("string"), F.lit("")) for x, k in zip(levels, keys)}
+    placed = nested(docs, (n_copies,), __key=order_key(F.col(f"`{doc_id}`"), seed), **named)
+    narrow = stash(docs.select(*[c.alias(k) for k, c in named.items()], order_key(F.col(f"`{doc_id}`"), seed).alias("__key"), tokens_in(F.col(f"`{text}`")).alias("__tokens")), "mix")
     bucket = F.substring("__key", 1, BUCKET_DIGITS)
     sums = narrow.groupBy(*keys, bucket.alias("__bucket")).agg(F.sum("__tokens").alias("__tokens"))
     leaves = sums.groupBy(*keys).agg(F.sum("__tokens").alias("__tokens"))
@@ -114,10 +115,10 @@ def mix(docs: DataFrame, levels: list[Column], weights: list[dict[str, float]],
         salt = F.pmod(F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"), F.lit(64))
         joined = placed.withColumn("__salt", salt).join(cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), [*keys, "__salt"])
     copies = F.col("__epochs") + F.when((F.col("__key") <= F.col("__last")) & (F.col("__last") != ""), 1).otherwise(0)
-    return joined.select(*[F.col(f"`{c}`") for c in kept], copies.cast("long").alias(n_copies))
+    return joined.select(*unnested(docs.columns, (n_copies,)), copies.cast("long").alias(n_copies))
 
 
 def copies_as_rows(mixed: DataFrame, n_copies: str = "n_copies") -> DataFrame:
     """Each row as often as it is taken, without the count."""
-    rows = mixed.where(F.col(n_copies) > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col(n_copies).cast("int"))))
-    return rows.drop("__epoch", n_copies)
+    rows = nested(mixed, (n_copies,), copies=F.col(n_copies)).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*unnested(mixed.columns, (n_copies,)))

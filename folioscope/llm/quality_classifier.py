@@ -4,7 +4,8 @@ Each class has a Gaussian whose covariance shrinks towards the pooled one and th
 two log densities (Mahalanobis terms by the cached inverse Cholesky factors) put through a logistic link fitted on the same sample.
 
 Defined results: null and empty texts have statistics of zero and are scored by the same formula; repeated rows get the same score;
-without labels of both classes every score is the share of label 1 (0.5 without labels); other columns pass through.
+without labels of both classes every score is the share of label 1 (0.5 without labels); texts of any length are read whole; an empty
+table gives an empty table; other columns pass through, but one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -106,8 +107,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": list(_measured(b["text"]))})
 
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
-    found = rows.mapInPandas(statistics, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
+    # of texts under one id that with the smallest statistics counts, so that the model is the same on every run
+    found = rows.mapInPandas(statistics, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in found], float).reshape(-1, len(STATISTICS)), np.array([r["label"] for r in found], int), **params)
 
 

@@ -4,7 +4,8 @@
 rows by sequential covering and prunes each on a third of the sample; ``DecisionList.verdict`` is an ordered Spark conditional.
 
 Defined results: a null text has no words and all counts 0; empty texts too; without labels of both classes the list is empty and
-its verdict is true; repeated rows each get their own numbers; other columns pass through, whatever their names.
+its verdict is true, and so it is on an empty table; of equal gains the first feature, the lowest threshold and "<=" win; repeated rows
+each get their own numbers; texts of any length are read whole; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, labelled_ids, let
+from .common import WORD, labelled_ids, let, nested, unnested
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -32,9 +33,9 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows, twice))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column __stats: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_stutters, n_lines (long)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def statistics(docs: DataFrame, text: str = "text", stats: str = "__stats") -> DataFrame:
+    """docs with a column of the name stats: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_stutters, n_lines (long)."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     by_words = let(
         F.regexp_extract_all(whole, F.lit(f"({WORD})"), 1),
         lambda w: F.struct(
@@ -42,10 +43,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     lines = let(F.filter(F.split(whole, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = docs.withColumn("__w", by_words).withColumn("__n", lines)
-    parts = [F.col(f"__w.{c}").alias(c) for c in ("n_words", "word_chars", "n_stutters", "n_repeat_words")] + [F.col(f"__n.{c}").alias(c) for c in ("n_lines", "n_dup_lines")]
-    parts += [F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long").alias("n_upper")]
-    return out.withColumn("__stats", F.struct(*parts)).drop("__w", "__n")
+    out = nested(docs, (stats,), words=by_words, lines=lines, symbols=F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"), upper=F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long"))
+    parts = [F.col(f"words.{c}").alias(c) for c in ("n_words", "word_chars", "n_stutters", "n_repeat_words")] + [F.col(f"lines.{c}").alias(c) for c in ("n_lines", "n_dup_lines")]
+    parts += [F.col("symbols").alias("n_symbols"), F.col("upper").alias("n_upper")]
+    return out.select(*unnested(docs.columns, (stats,)), F.struct(*parts).alias(stats))
 
 
 def feature(name: str, stats: str = "__stats") -> Column:
@@ -160,17 +161,22 @@ def cover(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, max_tests: int =
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_rows: int = 6000, **params) -> DecisionList:
     """A decision list against label 0, from at most max_rows labelled rows (documented bound; they alone come to the driver, as numbers)."""
     chosen = F.broadcast(labelled_ids(labels, label, max_rows))
-    rows = statistics(docs.select("doc_id", text).join(chosen, "doc_id"), text)
-    found = rows.select("doc_id", "label", *[feature(f).alias(f) for f in FEATURES]).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = statistics(docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(chosen, "doc_id"), "text")
+    numbers = F.struct(*[feature(f).alias(f) for f in FEATURES])
+    # of texts under one id that with the smallest numbers counts, so that the list is the same on every run
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("label", numbers.alias("x"))).alias("row")).orderBy("doc_id").select("row.label", "row.x.*").collect()
     if not found:
         return DecisionList([])
     x = np.array([[r[f] for f in FEATURES] for r in found], float)
     return cover(x, np.array([r["label"] == 0 for r in found]), **params)
 
 
-def quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text", min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """docs with __stats, base_failed and kept."""
-    out = statistics(docs, text)
-    s = lambda c: F.col(f"__stats.{c}")
+def quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text", min_words: int = 50, max_repeat: int = 50, stats: str = "__stats", base_failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+    """docs with three columns, named by stats, base_failed and kept; columns of docs that have these names already are replaced."""
+    out = nested(statistics(docs, text, stats), (base_failed, kept))
+    s = lambda c: F.col("row").getField(stats).getField(c)
     failed = (s("n_words") < min_words) | (100 * s("n_repeat_words") > max_repeat * s("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rules.verdict()))
+    columns = [c for c in docs.columns if c != stats] + [stats]
+    return out.select("row", failed.alias("failed"), F.col("row").getField(stats).alias("__stats")).select(
+        *unnested(columns, (base_failed, kept)), F.col("failed").alias(base_failed), F.when(F.col("failed"), F.lit(False)).otherwise(rules.verdict()).alias(kept)
+    )

@@ -11,9 +11,7 @@ from .common import bounded_broadcast, held_out, table
 #: A label-1 score from here on counts as good.
 GOOD = 0.3
 #: Lines on more than this share of a source's documents are boilerplate.
-LINE_RATIO, LINE_PAGES = 0.1, 10
-#: The least pages that make a line a repeated one: with it the ratio alone decides, whatever a host's size.
-REPEATED_PAGES = 2
+LINE_RATIO = 0.1
 #: Domains of the sources: by the number at the end of the source's name, modulo four.
 DOMAINS = ("web", "books", "news", "code")
 DOMAIN_WEIGHTS = {"web": 0.4, "books": 0.3, "news": 0.2, "code": 0.1}
@@ -30,18 +28,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on at least LINE_PAGES pages, as the SQL has it: hosts of fewer pages keep theirs. op2_line_dedup_all_hosts has no such floor."""
-    return _line_dedup(spark, sf_dir, LINE_PAGES)
-
-
-def op2_line_dedup_all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio decides at every host size; tested against brute force."""
-    return _line_dedup(spark, sf_dir, REPEATED_PAGES)
-
-
-def _line_dedup(spark: SparkSession, sf_dir: str, min_pages: int) -> DataFrame:
+    """The ratio decides at every host size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    done = line_dedup.line_dedup(docs, "source", "text", LINE_RATIO, min_pages)
+    done = line_dedup.line_dedup(docs, "source", "text", LINE_RATIO)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -51,7 +40,7 @@ lines as (select r, host, unnest(string_split(text, chr(10))) as line, unnest(ra
 marked as (select *, trim(line, ' ' || chr(9) || chr(13)) as norm from lines),
 counts as (select host, norm, count(distinct r) as pages from marked where norm <> '' group by host, norm),
 totals as (select host, count(*) as total from docs group by host),
-boiler as (select c.host, c.norm from counts c join totals t using (host) where pages >= {LINE_PAGES} and pages > {LINE_RATIO} * total),
+boiler as (select c.host, c.norm from counts c join totals t using (host) where pages >= {line_dedup.REPEATED} and pages > {LINE_RATIO} * total),
 kept as (select m.r, string_agg(m.line, chr(10) order by m.pos) filter (where b.norm is null) as text, count(*) as n_lines, count(b.norm) as n_dropped
   from marked m left join boiler b on m.host = b.host and m.norm = b.norm group by m.r)
 select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_dropped, 0)::bigint as n_dropped,
@@ -114,7 +103,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op2_line_dedup_all_hosts, op3_private_data, op4_quality_rules, op5_sentencepiece, op6_substring_dedup, op7_nearest_neighbours, op8_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_private_data, op4_quality_rules, op5_sentencepiece, op6_substring_dedup, op7_nearest_neighbours, op8_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

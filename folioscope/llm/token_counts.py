@@ -6,7 +6,7 @@ score less 10; of equal scores the path that was found first stays, where starts
 characters become the bytes of their UTF-8 form, one token each.
 
 Defined results: a null text has a null count, an empty one 0; every whole text counts, whatever its length; repeated rows get the
-same count; other columns pass through.
+same count; an empty table gives an empty table; other columns pass through, but one named as the count is replaced.
 """
 
 from __future__ import annotations

@@ -155,13 +155,13 @@ def test_substring_shared_passages(spark, monkeypatch, size):
     check_substring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio):
     norm = lambda x: x.strip(" \t\r")
     pages, total = Counter(), Counter()
     for host, text in rows:
         total[host] += 1
         pages.update({(host, norm(x)) for x in (text or "").split("\n") if norm(x)})
-    bad = {k for k, n in pages.items() if n >= least and n > ratio * total[k[0]]}
+    bad = {k for k, n in pages.items() if n >= 2 and n > ratio * total[k[0]]}
     out = []
     for host, text in rows:
         if text is None:
@@ -179,10 +179,15 @@ def test_lines(spark, odd_docs, monkeypatch, rows):
     rng = random.Random(2)
     made = [(rng.choice("ab"), "\n".join(rng.choice(["menu ", "menu", "foot", "", "  ", "x\r", f"own {i}"]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
     df = spark.createDataFrame(made + [(None, "menu"), (None, None), ("a", "")], "source string, text string")
-    done = line_dedup.line_dedup(df, max_ratio=0.3, min_pages=3)
-    assert Counter((r.text, r.n_lines, r.n_dropped) for r in done.collect()) == brute_lines([tuple(r) for r in df.collect()], 0.3, 3)
-    out = line_dedup.line_dedup(odd_docs, max_ratio=0.5, min_pages=2)
-    assert out.columns == [*odd_docs.columns, "n_lines", "n_dropped"] and out.count() == odd_docs.count()
+    done = line_dedup.line_dedup(df, max_ratio=0.3)
+    assert Counter((r.text, r.n_lines, r.n_dropped) for r in done.collect()) == brute_lines([tuple(r) for r in df.collect()], 0.3)
+    names = ("host", "lines", "salt", "row", "out", "total", "__host", "__lines", "__salt", "pages", "line")
+    clash = odd_docs.select("*", *[F.lit(f"my {c}").alias(c) for c in names if c not in odd_docs.columns])
+    out = line_dedup.line_dedup(clash, max_ratio=0.5)
+    assert out.columns == [*clash.columns, "n_lines", "n_dropped"]
+    others = [c for c in clash.columns if c != "text"]
+    assert Counter(out.select(*others).collect()) == Counter(clash.select(*others).collect())
+    assert Counter((r.text, r.n_lines, r.n_dropped) for r in out.collect()) == brute_lines([(r.source, r.text) for r in clash.collect()], 0.5)
 
 
 def test_lines_of_small_hosts(spark, tmp_path):
@@ -191,8 +196,8 @@ def test_lines_of_small_hosts(spark, tmp_path):
     rows = [(i, f"menu\nown {i}" + "\nfoot" * (i < 9), "en", "twenty", 5) for i in range(20)] + [(20 + i, f"all\nfirst {i}", "en", "three", 5) for i in range(3)] + [(23, "alone", "en", "one", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    want = Counter(r[0] for r in brute_lines([(r[3], r[1]) for r in rows], 0.1, 2).elements())
-    got = {r.doc_id: r for r in queries.op2_line_dedup_all_hosts(spark, str(tmp_path)).collect()}
+    want = Counter(r[0] for r in brute_lines([(r[3], r[1]) for r in rows], 0.1).elements())
+    got = {r.doc_id: r for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
     assert Counter(r.kept_sha256 for r in got.values()) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in want.elements())
     assert [got[i].n_dropped for i in (0, 10, 20, 23)] == [2, 1, 1, 0]
     assert Counter(r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()) == want

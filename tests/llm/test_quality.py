@@ -43,6 +43,32 @@ def test_classifier_never_learns_from_held_out(spark, tables):
     assert np.array_equal(a.means, b.means) and a.link == b.link
 
 
+def test_classifier_equals_its_formulas():
+    """Densities by the full covariance matrices, statistics by plain counting."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(quality_classifier.STATISTICS))) @ rng.normal(size=(len(quality_classifier.STATISTICS),) * 2)
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    model = quality_classifier.fit(x, y, shrink=0.3, sphere=0.2)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = own[0] * np.mean(y == 0) + own[1] * np.mean(y == 1)
+    pooled = 0.8 * pooled + 0.2 * np.trace(pooled) / len(pooled) * np.eye(len(pooled))
+    logs = []
+    for c in (0, 1):
+        cov, d = 0.7 * own[c] + 0.3 * pooled, z - z[y == c].mean(0)
+        logs.append(np.log(np.mean(y == c)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.margin(x), (logs[1] - logs[0]) / x.shape[1])
+    order = np.argsort(model.margin(x))
+    assert (np.diff(model.score(x)[order]) >= 0).all()
+    got = dict(zip(quality_classifier.STATISTICS, quality_classifier.measure("Ab ab ab 12!\nAb ab ab 12!\n| x")))
+    root = lambda a, b: np.arcsin(np.sqrt(a / b))
+    want = {
+        "log_words": np.log1p(10), "mean_chars": 22 / 10, "upper": root(2, 22), "digits": root(4, 22), "marks": root(1, 22), "points": root(2, 22), "bars": root(1, 10), "distinct": root(5, 10),
+        "new_pairs": root(6, 9), "stutter": root(2, 10), "dup_lines": root(1, 3), "log_line_words": np.log1p(10 / 3),
+    }
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want), (got, want)
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -59,6 +85,12 @@ def test_rule_statistics(spark, odd_docs, no_docs, tables):
         s = r["__stats"]
         assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == brute_statistics(r.text), r.text
     assert quality_rules.quality_rules(no_docs, quality_rules.DecisionList([])).count() == 0
+    docs = clashing(odd_docs, "row", "words", "lines", "symbols", "upper", "failed", "__w", "__n", "__stats")
+    out = quality_rules.quality_rules(docs, quality_rules.DecisionList([quality_rules.Rule([("n_words", ">", 69)])]), stats="s")
+    assert out.columns == [*docs.columns, "s", "base_failed", "kept"] and Counter(out.select(*docs.columns).collect()) == Counter(docs.collect())
+    for r in out.collect():
+        n, _, _, _, repeated = brute_statistics(r.text)
+        assert r.base_failed == (n < 50 or 100 * repeated > 50 * n) and r.kept == (not r.base_failed and n <= 69)
 
 
 def test_rules_learn_and_keep_clean(tables):
@@ -134,8 +166,17 @@ def test_mixture(spark, share, epochs):
     assert mixing.copies_as_rows(got).count() == sum(want.values())
 
 
+def clashing(docs, *names):
+    return docs.select("*", *[F.lit(f"my {c}").alias(c) for c in names if c not in docs.columns])
+
+
 def test_mixture_odd_rows(odd_docs, no_docs):
     levels = [F.col("source"), F.col("lang")]
-    out = mixing.mix(odd_docs, levels, [{}, {}], share=0.5)
-    assert out.columns == [*odd_docs.columns, "n_copies"] and out.count() == odd_docs.count()
+    docs = clashing(odd_docs, "row", "copies", "__key", "__l0", "__l1", "__epochs", "__last", "__tokens", "__bucket", "__salt")
+    out = mixing.mix(docs, levels, [{}, {}], share=0.5)
+    assert out.columns == [*docs.columns, "n_copies"] and Counter(out.drop("n_copies").collect()) == Counter(docs.collect())
+    want = brute_mix([((r.source or "", r.lang or ""), r.doc_id, r.text) for r in docs.collect()], [{}, {}], 0.5, 1, 11)
+    rows = docs.collect()
+    assert Counter((r.doc_id, r.text, r.n_copies) for r in out.collect()) == Counter((rows[i].doc_id, rows[i].text, n) for i, n in want.items())
+    assert mixing.copies_as_rows(out).columns == docs.columns
     assert mixing.mix(no_docs, levels, [{}, {}]).count() == 0
