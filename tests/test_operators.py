@@ -106,7 +106,7 @@ def test_neighbour_graph_of_all_vectors_equals_brute_force(spark, tmp_path):
     x = np.random.default_rng(5).normal(0, 1, (300, 8)).astype(np.float32).astype(float)
     x[210:220] = x[3]
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r.src, r.dst) for r in catalogue.queries()["neighbour_graph_all"](spark, str(tmp_path)).collect()}
+    got = {(r.src, r.dst) for r in catalogue.queries()["neighbour_graph"](spark, str(tmp_path)).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = np.round(u @ u.T, 9)
     np.fill_diagonal(c, -np.inf)
