@@ -63,9 +63,13 @@ def tokens(text: Column, vocabulary: Iterable[str] | None = None) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({token_pattern(vocabulary)})"), 1), F.array().cast("array<string>"))
 
 
+#: White space of one byte.
+BLANK = " \t\n\x0b\f\r"
+
+
 def normalized(text: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def category(token: Column) -> Column:
@@ -109,13 +113,18 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def count_of(text: Column, characters: str) -> Column:
+    """How many of the text's characters are among these; one pass without a pattern."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def char_ratios(text: Column) -> dict[str, Column]:
     """Shares of character classes among characters that aren't white space; white space among all."""
-    visible = F.length(F.regexp_replace(text, r"\s", ""))
-    share = lambda kind: ratio(F.regexp_count(text, F.lit(kind)).cast("double"), visible)
+    visible = F.length(F.translate(text, BLANK, ""))
+    share = lambda part: ratio(part.cast("double"), visible)
     return {
-        "chinese_ratio": share("[\\x{4E00}-\\x{9FFF}]"), "latin_ratio": share("[A-Za-z]"), "digit_ratio": share("[0-9]"), "operator_ratio": share(r"[-+*/=<>^_]"), "bracket_ratio": share(r"[\[\](){}]"),
-        "punct_ratio": share(r"[.,;:!?]"), "whitespace_ratio": ratio(F.regexp_count(text, F.lit(r"\s")).cast("double"), F.length(text)),
+        "chinese_ratio": share(F.regexp_count(text, F.lit("[\\x{4E00}-\\x{9FFF}]"))), "latin_ratio": share(count_of(text, "".join(chr(c) for c in (*range(65, 91), *range(97, 123))))), "digit_ratio": share(count_of(text, "0123456789")),
+        "operator_ratio": share(count_of(text, "-+*/=<>^_")), "bracket_ratio": share(count_of(text, "[](){}")), "punct_ratio": share(count_of(text, ".,;:!?")), "whitespace_ratio": ratio(count_of(text, BLANK).cast("double"), F.length(text)),
     }
 
 

@@ -16,12 +16,20 @@ from folioscope.functions import text as T
 def tokenized(expressions: DataFrame, text: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
     """expressions with tokens and norm, the stripped text; those without text are left out."""
     norm = T.normalized(F.col(text))
-    return expressions.where(norm != "").withColumn("norm", norm).withColumn("tokens", T.tokens(F.col("norm"), vocabulary))
+    return expressions.where(F.col(text).rlike(r"\S")).withColumn("norm", norm).withColumn("tokens", T.tokens(F.col("norm"), vocabulary))
+
+
+def each(rows: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """(keep..., name): a row for each element that isn't null.
+
+    The plain generator makes the optimizer ask ahead, at the scan, whether the array is empty, which would work it out twice.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def token_counts(corpus: DataFrame, *by: str) -> DataFrame:
     """(by..., token, count)."""
-    return corpus.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("count"))
+    return each(corpus, F.col("tokens"), "token", *by).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def longtail(counts: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def gini_and_coverage(counts: DataFrame, tops: tuple[int, ...] = (10, 50, 100, 5
 def rare_expression_ratio(corpus: DataFrame, counts: DataFrame, key: str, thresholds: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """For each threshold the share of expressions that hold a token with no more occurrences in the corpus."""
     rare = counts.where(F.col("count") <= max(thresholds))
-    least = corpus.select(key, F.explode(F.array_distinct("tokens")).alias("token")).join(rare, "token").groupBy(key).agg(F.min("count").alias("least"))
+    least = each(corpus, F.array_distinct("tokens"), "token", key).join(rare, "token").groupBy(key).agg(F.min("count").alias("least"))
     total = corpus.agg(F.count(F.lit(1)).alias("total"))
     hits = least.agg(*[F.count(F.when(F.col("least") <= t, 1)).alias(str(t)) for t in thresholds])
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(t)).alias("expressions")) for t in thresholds]))
@@ -80,23 +88,32 @@ def bin_counts(corpus: DataFrame, length: Column, bins: list[tuple] = T.LENGTH_B
     return full.select("place", "bin", "count", T.ratio(F.col("count"), F.sum("count").over(W.partitionBy())).alias("share"))
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text in groups and joins, so that texts themselves are not shuffled."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def scale(corpus: DataFrame, *by: str) -> DataFrame:
     """Expressions, tokens, vocabulary, distinct strings and the rate of redundant ones; two aggregations instead of nested distincts."""
-    base = corpus.groupBy(*by, "norm").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("tokens")).alias("t"))
-    base = base.groupBy(*by).agg(F.sum("c").alias("expressions"), F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("unique_strings"))
-    words = token_counts(corpus, *by).groupBy(*by).agg(F.count(F.lit(1)).alias("vocabulary"))
-    both = base.join(words, list(by)) if by else base.crossJoin(F.broadcast(words))
+    base = corpus.groupBy(*by, digest(F.col("norm")).alias("d")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("tokens")).alias("t"))
+    base = base.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("expressions"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("unique_strings"))
+    both = _with_vocabulary(base, corpus, by)
     return both.withColumn("duplicate_rate", T.ratio(F.col("expressions") - F.col("unique_strings"), F.col("expressions")))
 
 
+def _with_vocabulary(base: DataFrame, corpus: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    words = each(corpus, F.array_distinct("tokens"), "token", *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("vocabulary"))
+    return base.join(words, list(by)) if by else base.crossJoin(F.broadcast(words))
+
+
 def duplicate_sizes(corpus: DataFrame) -> DataFrame:
     """How many groups of equal texts there are of each size."""
-    return corpus.groupBy("norm").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+    return corpus.groupBy(digest(F.col("norm")).alias("d")).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
 def duplicate_stats(corpus: DataFrame) -> DataFrame:
     """One row: texts, distinct ones, redundant ones, those in groups, groups and the largest."""
-    sizes = corpus.groupBy("norm").agg(F.count(F.lit(1)).alias("c"))
+    sizes = corpus.groupBy(digest(F.col("norm")).alias("d")).agg(F.count(F.lit(1)).alias("c"))
     n, grouped = F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0))
     return sizes.agg(
         n.alias("expressions"), F.count(F.lit(1)).alias("unique_expressions"), (n - F.count(F.lit(1))).alias("redundant"), T.ratio(n - F.count(F.lit(1)), n).alias("duplicate_rate"), grouped.alias("grouped"),
@@ -105,16 +122,17 @@ def duplicate_stats(corpus: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(corpus: DataFrame, key: str, source: str) -> DataFrame:
-    """Groups of equal texts: size, the smallest member, five members, sources. Members are kept by a bounded aggregate."""
-    groups = corpus.groupBy(F.sha2(F.col("norm"), 256).alias("group"))
-    out = groups.agg(F.count(F.lit(1)).alias("size"), F.min(key).alias("first_id"), F.countDistinct(source).alias("sources"))
+    """Groups of equal texts: size, the smallest member, sources. Sources are counted by a first aggregation over (group, source)."""
+    parts = corpus.groupBy(F.sha2(F.col("norm"), 256).alias("group"), source).agg(F.count(F.lit(1)).alias("c"), F.min(key).alias("m"))
+    out = parts.groupBy("group").agg(F.sum("c").alias("size"), F.min("m").alias("first_id"), F.count(source).alias("sources"))
     return out.where("size > 1")
 
 
 def duplicate_index(corpus: DataFrame, key: str) -> DataFrame:
     """(key, group, group_size): groups are numbered by their smallest member, by joining counts back instead of a window over texts."""
-    sizes = corpus.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.min(key).alias("group"))
-    return corpus.select(key, "norm").join(sizes, "norm").select(key, "group", "group_size")
+    keyed = corpus.select(key, digest(F.col("norm")).alias("d"))
+    sizes = keyed.groupBy("d").agg(F.count(F.lit(1)).alias("group_size"), F.min(key).alias("group"))
+    return keyed.join(sizes, "d").select(key, "group", "group_size")
 
 
 def content_kinds(corpus: DataFrame) -> DataFrame:
@@ -182,7 +200,7 @@ def structure_patterns(corpus: DataFrame) -> DataFrame:
 def structure_grid(corpus: DataFrame) -> DataFrame:
     """Expressions for every ordered pair of structures, the diagonal included, zeros kept; sets are counted before they are paired."""
     sets = corpus.groupBy(structures(F.col("tokens")).alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    pairs = sets.select(F.explode("s").alias("a"), "s", "c").select("a", F.explode("s").alias("b"), "c").groupBy("a", "b").agg(F.sum("c").alias("count"))
+    pairs = each(each(sets, F.col("s"), "a", "s", "c"), F.col("s"), "b", "a", "c").groupBy("a", "b").agg(F.sum("c").alias("count"))
     names = list(T.STRUCTURE_TRIGGERS)
     grid = corpus.sparkSession.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     return F.broadcast(grid).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("count", F.lit(0)).alias("count"))
@@ -196,10 +214,21 @@ def structure_complexity(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_profile(corpus: DataFrame, by: str) -> DataFrame:
-    """One row a group: scale, lengths, rare and duplicate ratios, structure shares."""
-    lengths = length_distribution(corpus, F.size("tokens"), by).select(by, "mean", "p50", "p90", "max")
-    flags = corpus.select(by, structures(F.col("tokens")).alias("s")).groupBy(by).agg(*[F.avg(F.array_contains("s", k).cast("double")).alias(f"{k}_ratio") for k in ("frac", "sup", "sub", "sqrt")])
-    return scale(corpus, by).join(lengths, by).join(flags, by)
+    """One row a group: scale, lengths, rare and duplicate ratios, structure shares.
+
+    Equal texts meet once, with their number, so that one pass over them gives all but the vocabulary.
+    """
+    kinds = ("frac", "sup", "sub", "sqrt")
+    rows = corpus.select(by, digest(F.col("norm")).alias("d"), F.size("tokens").alias("n"), structures(F.col("tokens")).alias("s"))
+    texts = rows.groupBy(by, "d").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("s").alias("s"))
+    share = lambda k: (F.sum(F.when(F.array_contains("s", k), F.col("c")).otherwise(0)) / F.sum("c")).alias(f"{k}_ratio")
+    q = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9)), F.col("c"))
+    sums = texts.groupBy(by).agg(
+        F.sum("c").alias("expressions"), F.sum(F.col("c") * F.col("n")).alias("tokens"), F.count(F.lit(1)).alias("unique_strings"), (F.sum(F.col("c") * F.col("n")) / F.sum("c")).alias("mean"), q.alias("q"), F.max("n").cast("long").alias("max"), *map(share, kinds)
+    )
+    rate = T.ratio(F.col("expressions") - F.col("unique_strings"), F.col("expressions")).alias("duplicate_rate")
+    full = _with_vocabulary(sums, corpus, (by,))
+    return full.select(by, "expressions", "tokens", "unique_strings", "vocabulary", rate, "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), "max", *[f"{k}_ratio" for k in kinds])
 
 
 def page_metrics(pages: DataFrame, corpus: DataFrame, rare: DataFrame) -> DataFrame:
@@ -213,7 +242,7 @@ def page_metrics(pages: DataFrame, corpus: DataFrame, rare: DataFrame) -> DataFr
 
 def rare_detail(corpus: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     """Of each rare token its occurrences, expressions and pages."""
-    held = corpus.select("key", "page", F.explode("tokens").alias("token")).join(counts.where(F.col("count") <= most), "token")
+    held = each(corpus, F.col("tokens"), "token", "key", "page").join(counts.where(F.col("count") <= most), "token")
     return held.groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("key").alias("expressions"), F.countDistinct("page").alias("pages"))
 
 

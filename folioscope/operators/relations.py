@@ -51,18 +51,21 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"), 256)
 
 
-def overlapping_pairs(boxes: DataFrame, page: str, key: str, gap: float = 50.0) -> DataFrame:
+def overlapping_pairs(boxes: DataFrame, page: str, key: str, gap: float = 50.0, small_page: int = 64) -> DataFrame:
     """Unordered pairs on one page whose y-intervals overlap and whose x-intervals do or are no further apart than gap.
 
-    boxes has x0, x1, y0, y1. An equi-join on the page and on bands of y with the height of a typical box; each pair is taken in one
-    band only, the higher of the bands where both begin, so no pair is made twice and a page's rows are not all paired.
+    boxes has x0, x1, y0, y1. A count decides: where no page has more than small_page boxes, a page's boxes meet in one row and are
+    paired there, after one exchange; otherwise pages are cut into bands.
     """
-    band = boxes.groupBy(page).agg(F.greatest(F.max(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("__h"))
-    at = boxes.join(band, page).withColumn("__first", F.floor(F.col("y0") / F.col("__h"))).withColumn("__last", F.floor(F.col("y1") / F.col("__h")))
-    spread = at.withColumn("__band", F.explode(F.sequence("__first", "__last")))
-    a = spread.select(page, "__band", *[F.col(c).alias(f"{c}_a") for c in (key, "x0", "x1", "y0", "y1", "__first")])
-    b = spread.select(page, "__band", *[F.col(c).alias(f"{c}_b") for c in (key, "x0", "x1", "y0", "y1", "__first")])
-    pairs = a.join(b, [page, "__band"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("__band") == F.greatest("__first_a", "__first_b")))
+    names = [key, "x0", "x1", "y0", "y1"]
+    rows = boxes.select(page, *names)
+    most = rows.groupBy(page).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if most <= small_page:
+        held = rows.groupBy(page).agg(F.collect_list(F.struct(*names)).alias("l"))
+        both = held.select(page, F.explode("l").alias("a"), "l").select(page, "a", F.explode("l").alias("b")).where(f"a.`{key}` < b.`{key}`")
+        pairs = both.select(page, *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in names])
+    else:
+        pairs = _banded(rows, page, key, names)
     apart = F.greatest(F.col("x0_a"), F.col("x0_b")) - F.least(F.col("x1_a"), F.col("x1_b"))
     pairs = pairs.where((F.col("y0_a") < F.col("y1_b")) & (F.col("y0_b") < F.col("y1_a")) & (apart <= gap))
     ha, hb = F.col("y1_a") - F.col("y0_a"), F.col("y1_b") - F.col("y0_b")
@@ -70,6 +73,20 @@ def overlapping_pairs(boxes: DataFrame, page: str, key: str, gap: float = 50.0)
     return pairs.select(page, f"{key}_a", f"{key}_b", F.greatest(apart, F.lit(0.0)).alias("gap"), (apart < 0).alias("x_overlap"), (F.least(ha, hb) / F.greatest(ha, hb)).alias("height_similarity"), (overlap / F.least(ha, hb)).alias("y_overlap_ratio"))
 
 
+def _banded(boxes: DataFrame, page: str, key: str, names: list[str]) -> DataFrame:
+    """Pairs by an equi-join on the page and on bands of y with the height of its largest box.
+
+    Each pair is taken in one band only, the higher of the bands where both begin, so no pair is made twice and a page's rows are not
+    all paired.
+    """
+    band = boxes.groupBy(page).agg(F.greatest(F.max(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("__h"))
+    at = boxes.join(band, page).withColumn("__first", F.floor(F.col("y0") / F.col("__h"))).withColumn("__last", F.floor(F.col("y1") / F.col("__h")))
+    spread = at.withColumn("__band", F.explode(F.sequence("__first", "__last")))
+    a = spread.select(page, "__band", *[F.col(c).alias(f"{c}_a") for c in (*names, "__first")])
+    b = spread.select(page, "__band", *[F.col(c).alias(f"{c}_b") for c in (*names, "__first")])
+    return a.join(b, [page, "__band"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("__band") == F.greatest("__first_a", "__first_b")))
+
+
 def adjacency(pairs: DataFrame, similarity: float = 0.7, overlap: float = 0.7, gap: float = 50.0) -> DataFrame:
     """Pairs with adjacent: separated in x, of like height, side by side."""
     near = ~F.col("x_overlap") & (F.col("height_similarity") >= similarity) & (F.col("y_overlap_ratio") >= overlap) & (F.col("gap") <= gap)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import latex as L
 from folioscope.functions import text as T
 from folioscope.operators import corpus as C
-from folioscope.plans.common import Catalogue, table
+from folioscope.plans.common import Catalogue, table, texts
 
 Q = Catalogue()
 
@@ -34,7 +34,7 @@ def latex_golden(spark, sf_dir):
 
 def made_formulas(spark, sf_dir):
     """Formulas written from lineitem's numbers: a chain of as many nested roots and scripts as the line number."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = texts(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     n = F.col("l_linenumber")
     return rows.withColumn("formula", F.concat(F.repeat(F.lit(r"\sqrt { "), n), F.lit("x"), F.repeat(F.lit(" }"), n), F.when(F.col("l_quantity") > 25, r" + \frac { a } { b }").otherwise("")))
 
@@ -72,7 +72,7 @@ def page_features(spark, sf_dir):
 @Q.add()
 def document_structures(spark, sf_dir):
     """Parse status and structure of every document's lines taken as formulas."""
-    rows = C.tokenized(table(spark, sf_dir, "conversations"))
+    rows = C.tokenized(texts(spark, sf_dir, "conversations"))
     other = F.exists("tokens", lambda t: T.category(t) == "other / unknown tokens")
     return rows.select("conv_id", "turn", L.structure(F.col("tokens"), ~other).alias("s")).groupBy("s.status").agg(F.count(F.lit(1)).alias("count"), F.max("s.depth").alias("depth"))
 

@@ -9,14 +9,14 @@ from folioscope.operators import geometry as G
 from folioscope.operators import relations as R
 from folioscope.operators import reports as P
 from folioscope.operators import vectors as V
-from folioscope.plans.common import Catalogue, table
+from folioscope.plans.common import Catalogue, table, texts
 
 Q = Catalogue()
 
 
 @Q.add("with c as (select turn as value, count(*) as n from conversations group by 1) select v as value, coalesce(n, 0) as count from (select unnest(range(min(value), max(value) + 1)) as v from c) left join c on v = value")
 def gap_filled_curve(spark, sf_dir):
-    return P.gap_filled(table(spark, sf_dir, "conversations").select(F.col("turn").alias("value")), "value")
+    return P.gap_filled(texts(spark, sf_dir, "conversations").select(F.col("turn").alias("value")), "value")
 
 
 @Q.add("with c as (select l_linenumber as a, floor(l_discount * 100)::bigint % 6 as b, count(*) as n from lineitem group by all) select a, b, coalesce(n, 0) as count from (select unnest(range(0, 10)) as a) cross join (select unnest(range(0, 6)) as b) left join c using (a, b)")
@@ -32,7 +32,7 @@ def quality_gates(spark, sf_dir):
         "non_empty": (F.avg((F.length("text") > 0).cast("double")), 0.99, 1), "languages": (F.countDistinct("lang"), 2, 10), "mean_chars": (F.avg("n_chars"), 10, 100),
         "nulls": (F.count(F.when(F.col("text").isNull(), 1)), 0, 0),
     }
-    return P.gates(table(spark, sf_dir, "documents"), checks)
+    return P.gates(texts(spark, sf_dir, "documents"), checks)
 
 
 @Q.add("with k as (select o_custkey as k, count(distinct o_orderstatus) as n from orders group by 1) select count(*) as keys, count(*) filter (where n > 1) as in_several, count(*) filter (where n = 0) as in_none from k")

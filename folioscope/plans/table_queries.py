@@ -8,46 +8,46 @@ from folioscope.functions import text as T
 from folioscope.operators import corpus as C
 from folioscope.operators import geometry as G
 from folioscope.operators import relations as R
-from folioscope.plans.common import Catalogue, table
+from folioscope.plans.common import Catalogue, table, texts
 
 Q = Catalogue()
 
 
 @Q.add("select doc_id, lang, quality, toxic from documents join labels using (doc_id)")
 def one_to_one_join(spark, sf_dir):
-    return R.one_to_one(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    return R.one_to_one(texts(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
 
 @Q.add("select 0::bigint as repeated_left, 0::bigint as repeated_right, (select count(*) from documents where doc_id not in (select doc_id from labels)) as left_only, (select count(*) from labels where doc_id not in (select doc_id from documents)) as right_only")
 def key_violations(spark, sf_dir):
-    return R.key_violations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+    return R.key_violations(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @Q.add("select d.doc_id, d.lang, l.quality, l.doc_id is not null as matched from documents d left join labels l using (doc_id)")
 def left_indicator(spark, sf_dir):
-    return R.with_indicator(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return R.with_indicator(texts(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
 @Q.add("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def anti_missing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+    return texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
 @Q.add("select doc_id, n_chars from documents where doc_id in (select doc_id from labels where quality = 1 and toxic = 0)")
 def semi_usable(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"), "doc_id", "left_semi").select("doc_id", "n_chars")
+    return texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"), "doc_id", "left_semi").select("doc_id", "n_chars")
 
 
 @Q.add("select doc_id, coalesce(l.quality, d.quality) as quality from (select doc_id, -1 as quality from documents) d left join labels l using (doc_id)")
 def upsert_last(spark, sf_dir):
-    old = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("quality"))
+    old = texts(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("quality"))
     return R.upsert_last(old, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
 
 
 @Q.add("select doc_id, coalesce('q' || l.quality, d.lang) as lang from documents d left join labels l using (doc_id)")
 def coalesced_manifest(spark, sf_dir):
     old = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("lang"))
-    return R.coalesced(table(spark, sf_dir, "documents"), old, "doc_id", ["lang"])
+    return R.coalesced(texts(spark, sf_dir, "documents"), old, "doc_id", ["lang"])
 
 
 _BOXES = "select l_orderkey as page, l_linenumber::bigint as id, l_quantity * 10 as x0, l_quantity * 10 + 60 as x1, l_discount * 1000 as y0, l_discount * 1000 + 20 + l_tax * 100 as y1 from lineitem"
@@ -83,12 +83,12 @@ def adjacent_overlap_score(spark, sf_dir):
 
 @Q.add("select lang, doc_id, n_chars, rank from (select lang, doc_id, n_chars, row_number() over (partition by lang order by n_chars desc, doc_id)::int as rank from documents) where rank <= 20")
 def topn_per_group(spark, sf_dir):
-    return R.top_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 20)
+    return R.top_per_group(texts(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 20)
 
 
 @Q.add("select source, doc_id, rank from (select source, doc_id, row_number() over (partition by source order by sha256('42:' || doc_id), doc_id)::int as rank from documents) where rank <= 3")
 def hash_order_pick(spark, sf_dir):
-    return R.top_per_group(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], [R.seeded_order(F.col("doc_id"), 42), F.col("doc_id")], 3)
+    return R.top_per_group(texts(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], [R.seeded_order(F.col("doc_id"), 42), F.col("doc_id")], 3)
 
 
 @Q.add("""with h as ((select p_partkey, p_size, 'low' as side, row_number() over (order by p_size, p_partkey)::int as rank from part) union all (select p_partkey, p_size, 'high', row_number() over (order by p_size desc, p_partkey)::int from part))
@@ -106,7 +106,7 @@ def extremes(spark, sf_dir):
 @Q.add("""with d as (select lang, case when source in ('src0', 'src1', 'src2') then source else 'rest' end as split from documents) select lang,
  case when grouping(split) = 1 then 'overall' else split end as split, count(*) as count, count(*) / sum(count(*)) over (partition by case when grouping(split) = 1 then 'overall' else split end)::double as ratio from d group by grouping sets ((lang, split), (lang))""")
 def split_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.when(F.col("source").isin("src0", "src1", "src2"), F.col("source")).otherwise("rest").alias("split"))
+    rows = texts(spark, sf_dir, "documents").select("lang", F.when(F.col("source").isin("src0", "src1", "src2"), F.col("source")).otherwise("rest").alias("split"))
     return R.overall_and_by(rows, "split", "lang")
 
 
@@ -185,8 +185,8 @@ def spearman_confounds(spark, sf_dir):
 
 @Q.add("select distinct lang as value, 'documents' as origin from documents union select distinct role, 'conversations' from conversations")
 def set_union_distinct(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select(F.col("lang").alias("value"), F.lit("documents").alias("origin"))
-    return a.unionByName(table(spark, sf_dir, "conversations").select(F.col("role").alias("value"), F.lit("conversations").alias("origin"))).distinct()
+    a = texts(spark, sf_dir, "documents").select(F.col("lang").alias("value"), F.lit("documents").alias("origin"))
+    return a.unionByName(texts(spark, sf_dir, "conversations").select(F.col("role").alias("value"), F.lit("conversations").alias("origin"))).distinct()
 
 
 @Q.add("select c_nationkey as nationkey from customer intersect select s_nationkey from supplier where s_acctbal > 5000")

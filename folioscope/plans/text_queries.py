@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import corpus as C
-from folioscope.plans.common import Catalogue, table
+from folioscope.plans.common import Catalogue, table, texts
 
 Q = Catalogue()
 
@@ -41,11 +41,11 @@ def _domain_sql(name: str, values) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tokenized(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return C.tokenized(texts(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tokenized(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return C.tokenized(texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 @Q.add(_DOCS + """
@@ -104,7 +104,7 @@ by_ as (select kind, count(*) as n from kinds group by 1)
 select d.name as kind, coalesce(n, 0) as count, coalesce(n, 0) / sum(coalesce(n, 0)) over ()::double as share from d left join by_ on kind = name""")
 def content_kind(spark, sf_dir):
     made = spark.sql(f"select * from {_MADE.replace(chr(92), chr(92) * 2)}")
-    return C.content_kinds(C.tokenized(table(spark, sf_dir, "conversations").select("text").unionByName(made)))
+    return C.content_kinds(C.tokenized(texts(spark, sf_dir, "conversations").select("text").unionByName(made)))
 
 
 def _confusable_sql() -> str:
@@ -190,7 +190,7 @@ def structure_complexity(spark, sf_dir):
 @Q.add("select conv_id, string_agg(text, chr(10) order by turn) as page_text, count(*) as lines from conversations group by conv_id")
 def page_assembly(spark, sf_dir):
     """Lines of a page in order; a page's lines are few, so they meet in one row."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    rows = texts(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     return rows.select("conv_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("page_text"), F.size("l").cast("long").alias("lines"))
 
 
@@ -208,7 +208,7 @@ from (select distinct conv_id as page from conversations) p left join sums using
 def page_metrics(spark, sf_dir):
     corpus = turns(spark, sf_dir).withColumnRenamed("conv_id", "page")
     counts = C.token_counts(corpus)
-    return C.page_metrics(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page")), corpus, counts.where("count <= 8"))
+    return C.page_metrics(texts(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page")), corpus, counts.where("count <= 8"))
 
 
 @Q.add(_TURNS + f""", {_domain_sql('d', T.SIMILAR)}, m as (select * from (values {', '.join(f"('{s}', '{t}')" for s, x in T.SIMILAR.items() for t in x.split())}) t(subgroup, token)),
@@ -236,7 +236,7 @@ select doc_id, """ + ", ".join(
     for n, k in (("chinese_ratio", r"[\x{4E00}-\x{9FFF}]"), ("latin_ratio", "[A-Za-z]"), ("digit_ratio", "[0-9]"), ("operator_ratio", r"[-+*/=<>^_]"), ("bracket_ratio", r"[\[\](){}]"), ("punct_ratio", "[.,;:!?]"))
 ) + r", case when length(text) > 0 then len(regexp_extract_all(text, '\s')) / length(text)::double else 0 end as whitespace_ratio from documents")
 def char_ratios(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.char_ratios(F.col("text")).items()])
+    return texts(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.char_ratios(F.col("text")).items()])
 
 
 _GRAMS = """g as (select doc_id, length(text) as n, case when length(text) >= {s} then [substr(text, i + 1, {s}) for i in range(0, length(text) - {s} + 1, {t})] else [] end as g from documents),
@@ -245,12 +245,12 @@ c as (select doc_id, max(c) as top from (select doc_id, x, count(*) as c from (s
 
 @Q.add("with " + _GRAMS.format(s=8, t=8) + " select g.doc_id, case when n < 16 or coalesce(top, 0) <= 1 then 0 else top * 8 / n::double end as repetition_ratio from g left join c using (doc_id)")
 def repetition(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.repetition_ratio(F.col("text")).cast("double").alias("repetition_ratio"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.repetition_ratio(F.col("text")).cast("double").alias("repetition_ratio"))
 
 
 @Q.add("with " + _GRAMS.format(s=12, t=6) + " select g.doc_id, case when n < 36 then 0 else coalesce(top, 0) end::bigint as max_repeat from g left join c using (doc_id)")
 def ngram_repeat(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.max_ngram_repeat(F.col("text")).cast("long").alias("max_repeat"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.max_ngram_repeat(F.col("text")).cast("long").alias("max_repeat"))
 
 
 @Q.add("with " + _GRAMS.format(s=8, t=8) + ", " + _GRAMS.format(s=12, t=6).replace("g as", "g2 as").replace("c as", "c2 as").replace("from g)", "from g2)") + r"""
@@ -258,25 +258,25 @@ select d.doc_id, case when trim(text) = '' then 'empty' when length(text) >= 200
  when (case when g.n < 16 or coalesce(c.top, 0) <= 1 then 0 else c.top * 8 / g.n::double end) >= 0.35 or (case when g.n < 36 then 0 else coalesce(c2.top, 0) end) >= 20 then 'repetitive' else 'valid' end as status
 from documents d join g using (doc_id) left join c using (doc_id) left join c2 using (doc_id)""")
 def ocr_quality(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.quality_status(F.col("text")).alias("status"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.quality_status(F.col("text")).alias("status"))
 
 
 @Q.add("select doc_id, " + ", ".join(rf"len(regexp_extract_all(text, '{p}'))::bigint as {n}" for n, p in (("n_equals", "="), ("n_frac", r"\\frac"), ("n_sqrt", r"\\sqrt"), ("n_sub", "_"), ("n_sup", r"\^"), ("n_vec", r"\\vec"), ("n_angle", r"\\angle"), ("n_env", r"\\begin"))) + " from documents")
 def math_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.math_counts(F.col("text")).items()])
+    return texts(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.math_counts(F.col("text")).items()])
 
 
 @Q.add(r"""select doc_id, len(string_split(text, chr(10)))::bigint as lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\s*(\$\$|\\\[|\\\()') or (contains(l, '$') and regexp_matches(l, '[=+<>^_\\]'))))::bigint as formula_lines from documents""")
 def formula_lines(spark, sf_dir):
     parts = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("lines"), F.size(F.filter(parts, T.is_formula_line)).cast("long").alias("formula_lines"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("lines"), F.size(F.filter(parts, T.is_formula_line)).cast("long").alias("formula_lines"))
 
 
 @Q.add(r"""with e as (select conv_id, turn, text, regexp_replace(text, '^\s+|\s+$', '', 'g') as norm from conversations),
 t as (select *, regexp_extract_all(norm, '""" + _RULE + r"""') as tokens from e)
 select case when text is null or text = '' then 'empty_annotation' when norm = '' then 'empty_after_normalization' when len(tokens) = 0 then 'empty_after_tokenization' else '' end as reason, count(*) as count from t group by 1""")
 def exclusion_audit(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("norm", T.normalized(F.col("text")))
+    rows = texts(spark, sf_dir, "conversations").withColumn("norm", T.normalized(F.col("text")))
     return rows.groupBy(T.exclusion_reason(F.col("text"), F.col("norm"), T.tokens(F.col("norm"))).alias("reason")).agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import selection as S
 from folioscope.operators import splits as P
 from folioscope.operators import vectors as V
-from folioscope.plans.common import Catalogue, table
+from folioscope.plans.common import Catalogue, table, texts
 
 Q = Catalogue()
 
@@ -84,13 +84,13 @@ def feature_means(spark, sf_dir):
 @Q.add("""with r as (select source, doc_id, n_chars, lang, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents), s as (select *, row_number() over (partition by source, r = 1 order by lang, n_chars, doc_id) as s from r)
 select source, doc_id, case when r = 1 then 1 else 2 end as pick from s where r = 1 or s = 1""")
 def hard_pick(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
+    rows = texts(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
     return S.hard_pick(rows, "source", "doc_id", [F.desc("n_chars")], [F.col("lang"), F.col("n_chars")]).select("source", "doc_id", "pick")
 
 
 @Q.add("select source, doc_id, rank from (select source, doc_id, row_number() over (partition by source order by sha256('7:' || doc_id), doc_id)::int as rank from documents) where rank <= 4")
 def random_pick(spark, sf_dir):
-    return S.random_pick(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 4, 7)
+    return S.random_pick(texts(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 4, 7)
 
 
 @Q.add("""with r as (select vec_id, label, vec_id % 3 <> 0 as only_, (vec_id * 37) % 101 as score from embeddings), b as (select label, arg_min(vec_id, (-score, vec_id)) as best from r where only_ group by label)
@@ -118,7 +118,7 @@ w as (select label, split, place, sum(quota) over (partition by label order by p
 
 
 def _labelled(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    both = texts(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return both.select("doc_id", F.concat_ws(":", "lang", F.coalesce(F.col("quality").cast("string"), F.lit("-"))).alias("label"))
 
 
@@ -146,7 +146,7 @@ _WORDS = r"tk as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '
 
 
 def _words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1))).alias("token"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1))).alias("token"))
 
 
 @Q.add(f"with {_ASSIGNED}, {_WORDS}, b as (select token, bool_or(split = 'train') as t, bool_or(split <> 'train') as h from tk join s using (doc_id) group by token) select count(*) filter (where t) as train_types, count(*) filter (where h) as held_types, count(*) filter (where h and not t) as held_only from b")
