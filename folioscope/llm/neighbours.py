@@ -139,10 +139,11 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, part_rows: int = 2048, max_parts: int = 256, sample_rows: int = 8192, block_rows: int = 16384, query_rows: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, sample_rows: int = 8192, block_rows: int = 16384, query_rows: int = 16384, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest, by Euclidean distance in double precision, ties to the smaller vec_id.
 
-    The router is fitted on at most sample_rows vectors (documented bound), chosen by seeded hash; every vector is indexed.
+    The router is fitted on at most sample_rows vectors (documented bound), chosen by seeded hash; every vector is indexed. The parts, half
+    the root of the rows unless given, grow with the table up to one for 16 sampled rows; beyond, parts grow in blocks of their own tasks.
     """
     spark = vectors.sparkSession
     all_rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).where("vec_id is not null").where(usable(F.col("v")))
@@ -152,7 +153,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     lengths = pd.Series([len(r["v"]) for r in sample])
     dims = int(lengths.mode().iloc[0])
     total = all_rows.count()
-    router = fit(np.array([r["v"] for r in sample if len(r["v"]) == dims]), max(1, min(max_parts, total // part_rows)))
+    router = fit(np.array([r["v"] for r in sample if len(r["v"]) == dims]), parts or max(2, round(total**0.5 / 2)))
     parts = router.parts()
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +183,12 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
         if len(here) and len(asked):
             x, ids = np.stack(here["v"].to_numpy()), here["vec_id"].to_numpy()
             for q, v in zip(asked["query_id"], asked["v"]):
-                far = ((x - v) ** 2).sum(1)
+                far = np.sqrt(((x - v) ** 2).sum(1))
                 own = ids == q
                 top = np.arange(len(ids)) if len(ids) <= k + own.sum() else np.flatnonzero(far <= np.partition(far, k + own.sum() - 1)[k + own.sum() - 1])
                 top = top[ids[top] != q]
                 top = top[np.lexsort((ids[top], far[top]))][:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": np.sqrt(far[top])}))
+                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": far[top]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     counts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)

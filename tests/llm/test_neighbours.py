@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import neighbours
+from folioscope.llm import neighbours, queries
 
 
 def brute(x, ids, q, k=10):
@@ -26,7 +26,7 @@ def clustered(spark):
 def test_recall(clustered):
     x, df = clustered
     got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, part_rows=200, block_rows=128).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, parts=15, block_rows=128).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     recall = []
     for q in range(0, 3000, 50):
@@ -38,6 +38,20 @@ def test_recall(clustered):
     assert [v for v, _ in got[0]] == list(range(1, 11))  # ties to smaller ids
 
 
+def test_recall_of_the_query(spark):
+    """The registered query over whole tables, in several parts, which it probes in part."""
+    for sf, least in (("sf0.01", 0.9), ("sf0.1", 0.9)):
+        path = f"/root/testdata/{sf}"
+        rows = spark.read.parquet(f"{path}/embeddings.parquet").orderBy("vec_id").collect()
+        x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+        got = {}
+        for r in queries.op7_nearest_neighbours(spark, path).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        asked = [int(i) for i in ids if i % 100 == 0]
+        assert sorted(got) == asked and all(len(v) == 10 for v in got.values())
+        assert np.mean([len(set(got[q]) & {v for v, _ in brute(x, ids, q)}) / 10 for q in asked]) >= least
+
+
 def test_parts_are_balanced(clustered):
     x, _ = clustered
     x = np.unique(x, axis=0)
