@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words that a chunk holds, short of a single longer text.
 CHUNK_WORDS = 500_000
 #: Bytes of text whose entries a bucket holds, about.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 12_000_000
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "bucket int, hashes binary, positions binary, ids binary, counts binary, tags binary"

@@ -8,7 +8,8 @@ A chunk of documents settles its own repeats and sends each window once, so grou
 
 Defined results: null and empty texts have no words; documents with fewer words than a window keep all; rows with a null id are
 returned untouched and nothing is compared with them; rows that repeat an id are no repeats of each other; ids are integers; an empty
-table gives an empty result; other columns are not looked at, whatever their names. Words are compared as they are.
+table gives an empty result; texts of any length are read whole; other columns are not looked at, whatever their names. Words are
+compared as they are, by 64-bit hashes of whole windows: exact but for two different windows of one hash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stash
+from .common import broadcast_by_bytes, stash
 from .exchange import SCHEMA, Unpacked, Windows, WordHashes, bucket_count, chunks, pack, runs, words_of
 
 #: Hit positions travel in cells of so many words.
@@ -127,7 +128,7 @@ def _hits(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
                 tag = np.zeros(len(own), np.int64)
         return _dealt(own, tag, at, buckets)
 
-    met = docs.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, SCHEMA)
+    met = docs.mapInPandas(send, SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, SCHEMA)
     return met.groupBy("bucket").applyInPandas(_joined(1), _MERGED)
 
 
@@ -188,7 +189,7 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
             own, tag, at = np.r_[own, got.ids[later]], np.r_[tag, got.tags[later]], np.r_[at, got.positions[later]]
         return _dealt(own, tag, at, buckets)
 
-    met = candidates.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(meet, SCHEMA)
+    met = candidates.mapInPandas(send, SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, SCHEMA)
     return met.groupBy("bucket").applyInPandas(_joined(window), _MERGED)
 
 
@@ -204,7 +205,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     real = rows.where("doc_id is not null")
     buckets = bucket_count(real, "text")
     cells = stash(_hits(real, block, window, buckets).select("doc_id", F.col("spots").alias("cells")), "cells")
-    candidates = real.join(bounded_broadcast(cells, cells.count(), 100_000), "doc_id").select("doc_id", "text", "cells")
+    candidates = real.join(broadcast_by_bytes(cells, F.octet_length("cells") + 16), "doc_id").select("doc_id", "text", "cells")
     covered = stash(_repeats(candidates, block, window, buckets).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spots")).alias("found")), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,5 +226,5 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out.append((len(words), removed, hashlib.sha256(kept).hexdigest() if digests_only else kept.decode("utf-8", "replace")))
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    known = rows.join(bounded_broadcast(covered, covered.count(), 100_000), "doc_id", "left").select("doc_id", "text", "found")
+    known = rows.join(broadcast_by_bytes(covered, F.aggregate("found", F.lit(16).cast("long"), lambda n, x: n + F.octet_length(x["spots"]) + 16)), "doc_id", "left").select("doc_id", "text", "found")
     return known.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
