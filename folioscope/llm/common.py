@@ -93,7 +93,19 @@ def labelled_ids(labels: DataFrame, label: str, max_rows: int, seed: int = 17) -
     return once.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
 
 
+#: Bytes of a batch that goes to a Python worker, where the session sets no bound: whole texts may be long.
+BATCH_BYTES = 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by bytes, unless it does so itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by name; Python workers started from here on find this package where it lies, if they see that folder."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
