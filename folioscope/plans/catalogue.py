@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import latex_queries, layout_queries, model_queries, report_queries, table_queries, text_queries, vector_queries
+from folioscope.plans import latex_queries, layout_queries, model_queries, record_queries, report_queries, table_queries, text_queries, vector_queries
 
-PARTS = (text_queries, latex_queries, layout_queries, model_queries, report_queries, table_queries, vector_queries)
+PARTS = (text_queries, latex_queries, layout_queries, model_queries, record_queries, report_queries, table_queries, vector_queries)
 
 
 def queries() -> dict:
