@@ -54,25 +54,34 @@ def pair_summary(spark, sf_dir):
     return P.pair_summary(pairs, "page", "a", "b")
 
 
-@Q.add("""select * from (values (1, 'title', 2), (1, 'figure', 1), (2, 'text', 1)) t(id, label, boxes)""")
+@Q.add("select l_returnflag as label, count(*) filter (where l_linenumber > 1) as first, sum(l_linenumber)::bigint as blocks, sum(l_linenumber * (1 + l_linenumber % 2))::bigint as boxes, round(sum(l_quantity * l_linenumber), 2) as left_sides from lineitem group by 1")
 def grounding_blocks(spark, sf_dir):
-    table(spark, sf_dir, "region")
-    texts = [(1, "<|ref|>title<|/ref|><|det|>[[1,2,3,4],[5,6,7,8]]<|/det|> x <|ref|>figure<|/ref|><|det|>[[0,0,9,9]]<|/det|>"), (2, "<|ref|>text<|/ref|><|det|>[[1,1,2,2]]<|/det|>"), (3, "none")]
-    rows = spark.createDataFrame(texts, "id int, text string").select("id", F.explode(P.grounding_blocks(F.col("text"))).alias("b"))
-    return rows.select("id", "b.label", F.size("b.boxes").alias("boxes"))
+    """Texts made of lineitem's numbers: as many marked blocks as the line number, of one or two boxes each, with prose between."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    boxes = F.concat(F.lit("[["), q.cast("string"), F.lit(",2,3,4]"), F.when(n % 2 == 1, ",[5,6,7,8]]").otherwise("]"))
+    mark = F.concat(F.lit("prose <|ref|>"), F.col("l_returnflag"), F.lit("<|/ref|><|det|>"), boxes, F.lit("<|/det|> more\n"))
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", P.grounding_blocks(F.repeat(mark, n)).alias("b")).select("l_linenumber", F.posexplode("b").alias("at", "x"))
+    left = F.col("x.boxes")[0][0]
+    return rows.groupBy("x.label").agg(F.count(F.when((F.col("at") == 0) & (F.col("l_linenumber") > 1), 1)).alias("first"), F.count(F.lit(1)).alias("blocks"), F.sum(F.size("x.boxes")).alias("boxes"), F.round(F.sum(left), 2).alias("left_sides"))
 
 
-@Q.add("select * from (values (1, 'Algebra', 'Sets'), (1, 'Algebra', 'Functions'), (2, 'Geometry', null)) t(id, l1, l2)")
+@Q.add("""with o as (select o_orderkey % 5 as kind, o_orderpriority as p, o_orderstatus as s from orders)
+select l1, l2, count(*) as count from (select p as l1, s as l2 from o where kind in (0, 1) union all select p, 'Sets' from o where kind = 0 union all select p, null from o where kind = 2) group by all""")
 def label_objects(spark, sf_dir):
-    table(spark, sf_dir, "region")
-    texts = [(1, '```json\n{"labels": [{"l1": "Algebra", "l2": "Sets"}, {"l1": "Algebra", "l2": "Functions"}]}\n```'), (2, '{"l1": "Geometry"}'), (3, "no answer")]
-    return spark.createDataFrame(texts, "id int, text string").select("id", F.explode(P.label_objects(F.col("text"))).alias("x")).select("id", "x.l1", "x.l2")
+    """Answers made of orders: two labels in a fence, one label in a list, an old single label, and two kinds that are no answer."""
+    p, s, kind = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey") % 5
+    pair = lambda a, b: F.concat(F.lit('{"l1": "'), a, F.lit('", "l2": "'), b, F.lit('"}'))
+    text = (
+        F.when(kind == 0, F.concat(F.lit('```json\n{"labels": ['), pair(p, s), F.lit(", "), pair(p, F.lit("Sets")), F.lit("]}\n```"))).when(kind == 1, F.concat(F.lit('{"labels": ['), pair(p, s), F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit('{"l1": "'), p, F.lit('"}'))).when(kind == 3, F.lit("no answer"))
+    )
+    return table(spark, sf_dir, "orders").select(F.explode(P.label_objects(text)).alias("x")).groupBy("x.l1", "x.l2").agg(F.count(F.lit(1)).alias("count"))
 
 
-@Q.add("select * from (values ('a_b_c', 'a'), ('plain', 'plain'), ('x_', 'x')) t(name, prefix)")
+@Q.add("select name, split_part(name, '_', 1) as prefix, count(*) as count from (select p_name || case when p_partkey % 2 = 0 then '_' || p_brand || '_' else '' end as name from part) group by all")
 def prefix_keys(spark, sf_dir):
-    table(spark, sf_dir, "region")
-    return spark.createDataFrame([("a_b_c",), ("plain",), ("x_",)], "name string").select("name", T.prefix_key(F.col("name")).alias("prefix"))
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_"), "p_brand", F.lit("_"))).otherwise(""))
+    return table(spark, sf_dir, "part").select(name.alias("name")).groupBy("name", T.prefix_key(F.col("name")).alias("prefix")).agg(F.count(F.lit(1)).alias("count"))
 
 
 @Q.add("select column_name as \"column\", n as \"distinct\" from (select 'one' as column_name, count(distinct 1) as n from part union all select 'p_size', count(distinct p_size) from part union all select 'p_brand', count(distinct p_brand) from part) where n <= 1")
