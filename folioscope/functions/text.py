@@ -51,11 +51,15 @@ LENGTH_BINS = [("1-10 tokens", 1, 10), ("11-20 tokens", 11, 20), ("21-40 tokens"
 TOKEN_RULE = r"\\[A-Za-z]+|\\[^A-Za-z\s]|" + "|".join(re.escape(x) for x in sorted(ENVIRONMENT_NAMES, key=len, reverse=True)) + r"|\S"
 
 
+#: Longer entries of a vocabulary are never matched.
+LONGEST = 32
+
+
 def token_pattern(vocabulary: Iterable[str] | None = None) -> str:
-    """The tokenizer's pattern; with a vocabulary, its longest entry at each place, else one character."""
+    """The tokenizer's pattern; with a vocabulary, its longest entry of at most LONGEST characters at each place, else one character."""
     if vocabulary is None:
         return TOKEN_RULE
-    return "|".join(re.escape(x) for x in sorted(set(vocabulary), key=lambda x: (-len(x), x))) + r"|\S"
+    return "|".join(re.escape(x) for x in sorted({x for x in vocabulary if 0 < len(x) <= LONGEST}, key=lambda x: (-len(x), x))) + r"|\S"
 
 
 def tokens(text: Column, vocabulary: Iterable[str] | None = None) -> Column:

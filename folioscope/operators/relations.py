@@ -120,11 +120,19 @@ def robust_scale(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.crossJoin(q).select(key, *[F.when(spread(c) > 0, (F.col(c) - F.col(f"__{c}")[1]) / spread(c)).otherwise(0.0).alias(c) for c in columns])
 
 
-def _ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean ranks of a column's values, by counts of distinct values instead of a window over all rows."""
+def _ranks(rows: DataFrame, column: str, name: str, parts: int = 64) -> DataFrame:
+    """Mean ranks of a column's values: counts of distinct values, summed within ranges of the column, each a task of its own.
+
+    The ranges' ends are approximate quantiles, a few numbers; how well they divide the values changes the balance, not the ranks.
+    """
+    ends = sorted(set(rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.005)))
     values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
-    run = F.sum("__c").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    return values.withColumn(name, run - (F.col("__c") - 1) / 2.0).select(column, name)
+    place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e < F.col(column))) if ends else F.lit(0)
+    placed = values.withColumn("__p", place)
+    sizes = placed.groupBy("__p").agg(F.sum("__c").alias("__s"))
+    before = sizes.select("__p", (F.sum("__s").over(W.orderBy("__p")) - F.col("__s")).alias("__b"))  # as many rows as ranges
+    run = F.sum("__c").over(W.partitionBy("__p").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + run - (F.col("__c") - 1) / 2.0).select(column, name)
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -80,3 +80,38 @@ def constant_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def log_scaled(value: Column) -> Column:
     return F.log1p(F.greatest(F.coalesce(value, F.lit(0)).cast("double"), F.lit(0.0)))
+
+
+def duplicate_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, kept): columns that equal an earlier one of their type in every row, nulls included; one aggregation over the pairs."""
+    kind = dict(rows.dtypes)
+    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i] if kind[a] == kind[b]]
+    same = rows.agg(*[F.coalesce(F.min(F.col(a).eqNullSafe(F.col(b)).cast("int")), F.lit(1)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    found: dict[str, str] = {}
+    for i, (a, b) in enumerate(pairs):
+        if same[i] and b not in found and a not in found:
+            found[b] = a
+    return rows.sparkSession.createDataFrame(list(found.items()), "column string, kept string")
+
+
+def table_rows(markdown: Column, heading: str) -> Column:
+    """array<array<string>>: the cells of the rows of the first table under a heading of a Markdown text, its own header left out."""
+    body = F.regexp_extract(F.concat(markdown, F.lit("\n#")), r"(?s)(?:^|\n)#+ " + heading + r"[^\n]*\n(.*?)(?=\n#)", 1)
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x).startswith("|") & ~x.rlike(r"^[\s|:-]+$"))
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.btrim(x), r"^\||\|$", ""), r"\|"), lambda c: F.btrim(c, F.lit(" `\t\r")))
+    return F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), cells)
+
+
+def taxonomy(texts: DataFrame, text: str, upper: str, lower: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """(l1_code, l1_name, l2_code, l2_name) of a label scheme written as two Markdown tables: (code, name) and (upper's name, code, name).
+
+    A lower label belongs to the upper one of its name, else to that of its code's first part. With sizes, other numbers of labels fail.
+    """
+    first = texts.select(F.explode(table_rows(F.col(text), upper)).alias("r")).select(F.col("r")[0].alias("l1_code"), F.col("r")[1].alias("l1_name"))
+    second = texts.select(F.explode(table_rows(F.col(text), lower)).alias("r")).select(F.col("r")[0].alias("of"), F.col("r")[1].alias("l2_code"), F.col("r")[2].alias("l2_name"))
+    by_code = first.select(F.col("l1_code").alias("c"), F.col("l1_name").alias("n"))
+    both = second.join(first, F.col("of") == F.col("l1_name"), "left").join(by_code, F.substring_index("l2_code", ".", 1) == F.col("c"), "left")
+    found = both.select(F.coalesce("l1_code", "c").alias("l1_code"), F.coalesce("l1_name", "n").alias("l1_name"), "l2_code", "l2_name")
+    if sizes is not None and (first.count(), found.where("l1_code is not null").count()) != sizes:
+        raise ValueError(f"expected {sizes[0]} upper and {sizes[1]} lower labels")
+    return found

@@ -72,10 +72,10 @@ def centroids(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def cosine_to_centroid(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """rows with the cosine to their cluster's mean."""
+    """rows with the cosine to their cluster's mean; the means are broadcast where Spark finds them small enough."""
     scaled = normalized(rows, vector)
     mean = centroids(scaled, cluster, vector)
-    return scaled.join(F.broadcast(mean), cluster).withColumn("cosine", dot(F.col(vector), F.col("mean")) / norm(F.col("mean")))
+    return scaled.join(mean, cluster).withColumn("cosine", dot(F.col(vector), F.col("mean")) / norm(F.col("mean")))
 
 
 def medoids(rows: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
@@ -137,32 +137,50 @@ def vector_quality(rows: DataFrame, vector: str, dims: int, low: float = 1e-6, h
     return F.array_join(F.array_compact(F.array(F.when(v.isNull(), "missing"), F.when(size != dims, "dims"), F.when(bad, "not_finite"), F.when(~bad & ~length.between(low, high), "norm"))), "|")
 
 
-def spherical_kmeans(rows: DataFrame, group: str, key: str, vector: str, k: int, seed: int = 0, iterations: int = 50, restarts: int = 4) -> DataFrame:
-    """(group, key, cluster): spherical k-means in each group, a question's bounded set of samples, with deterministic seeds."""
+def spherical_kmeans(rows: DataFrame, group: str, key: str, vector: str, k: int, seed: int = 0, iterations: int = 300, restarts: int = 30, tolerance: float = 1e-6) -> DataFrame:
+    """(group, key, cluster): spherical k-means in each group, a question's bounded set of samples, with deterministic seeds.
+
+    Seeds are drawn by the square of the distance to those drawn before; an empty cluster gets the row that is furthest from its own centre
+    among clusters of several; clusters are numbered by the key of the row nearest to their centre, compared as text.
+    """
+
+    def centres(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        new = np.zeros((n, x.shape[1]))
+        np.add.at(new, at, x)
+        for j in np.flatnonzero(np.bincount(at, minlength=n) == 0):
+            loose = np.where(np.bincount(at, minlength=n)[at] > 1, (x * new[at]).sum(1) / np.maximum(np.linalg.norm(new[at], axis=1), 1e-12), np.inf)
+            far = int(loose.argmin())
+            new[at[far]] -= x[far]
+            new[j], at[far] = x[far], j
+        return new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         x = np.stack(frame[vector].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        best, label = -np.inf, np.zeros(len(x), int)
+        n, best, label, middle = min(k, len(x)), -np.inf, np.zeros(len(x), int), x[:1]
         for r in range(restarts):
             rng = np.random.default_rng(seed + r)
             c = [x[rng.integers(len(x))]]
-            while len(c) < min(k, len(x)):
-                far = np.maximum(1 - (x @ np.array(c).T).max(1), 0)
+            while len(c) < n:
+                far = np.clip(1 - (x @ np.array(c).T).max(1), 0, 2) ** 2
                 c.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[rng.integers(len(x))])
-            c = np.array(c)
+            c, at, score = np.array(c), np.full(len(x), -1), -np.inf
             for _ in range(iterations):
-                at = (x @ c.T).argmax(1)
-                new = np.array([x[at == j].sum(0) if (at == j).any() else c[j] for j in range(len(c))])
-                new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-                if np.abs(new - c).max() < 1e-6:
+                near = x @ c.T
+                new, total = near.argmax(1), near.max(1).sum()
+                c = centres(x, new.copy(), n)
+                done, at = (new == at).all() or abs(total - score) < tolerance, new
+                score = total
+                if done:
                     break
-                c = new
-            score = (x @ c.T).max(1).sum()
-            if score > best + 1e-12:
-                best, label = score, (x @ c.T).argmax(1)
-        return pd.DataFrame({group: frame[group], key: frame[key], "cluster": label.astype(np.int32)})
+            near = x @ c.T
+            if near.max(1).sum() > best + 1e-12:
+                best, label, middle = near.max(1).sum(), near.argmax(1), c
+        names = frame[key].astype(str).to_numpy()
+        first = [names[np.flatnonzero(label == j)[(x[label == j] @ middle[j]).argmax()]] if (label == j).any() else None for j in range(len(middle))]
+        place = {j: i for i, j in enumerate(sorted(range(len(middle)), key=lambda j: (first[j] is None, first[j] or "")))}
+        return pd.DataFrame({group: frame[group], key: frame[key], "cluster": np.array([place[j] for j in label], np.int32)})
 
     schema = f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, cluster int"
     return rows.select(group, key, vector).groupBy(group).applyInPandas(solve, schema)

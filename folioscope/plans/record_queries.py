@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from folioscope.operators import corpus as C
 from folioscope.operators import geometry as G
 from folioscope.operators import records as X
+from folioscope.operators import reports as P
 from folioscope.plans.common import Catalogue, table, texts
 from folioscope.plans.text_queries import _DOCS, _TURNS, documents, turns
+from folioscope.plans.text_queries import _RULE as _RULE_SQL
 
 Q = Catalogue()
 
@@ -325,6 +327,32 @@ def wide_correlations(spark, sf_dir):
     return wide.select("pca", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in names])
 
 
+@Q.add("select * from (values ('p_copy', 'p_size'), ('p_twice', 'p_name')) t(\"column\", kept)")
+def duplicate_columns(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("p_copy", F.col("p_size")).withColumn("p_twice", F.col("p_name")).withColumn("p_near", F.col("p_size") + F.when(F.col("p_partkey") == 1, 1).otherwise(0))
+    return P.duplicate_columns(part, ["p_size", "p_name", "p_copy", "p_near", "p_twice"])
+
+
+@Q.add("select r_regionkey::varchar as l1_code, r_name as l1_name, n_regionkey || '.' || n_nationkey as l2_code, n_name as l2_name from nation join region on r_regionkey = n_regionkey")
+def label_taxonomy(spark, sf_dir):
+    """Regions and nations written as a Markdown text and read back; every other nation is found by its code alone."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    one = region.agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("| "), "r_regionkey", F.lit(" | "), "r_name", F.lit(" |")))), "\n").alias("a"))
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise("?")
+    two = nation.agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("| "), name, F.lit(" | `"), "n_regionkey", F.lit("."), "n_nationkey", F.lit("` | "), "n_name", F.lit(" |")))), "\n").alias("b"))
+    text = F.concat(F.lit("# Labels\n\n## Upper\n| code | name |\n|---|---|\n"), "a", F.lit("\n\n## Lower\n\n| of | code | name |\n| --- | --- | --- |\n"), "b", F.lit("\n\n## Notes\nnone\n"))
+    return P.taxonomy(one.join(two).select(text.alias("text")), "text", "Upper", "Lower", (5, 25))
+
+
+_WORDS = ("the", "an", "and", "er", "in", "ing", "a", "tion", "=")
+
+
+@Q.add(_TURNS.replace(_RULE_SQL, "|".join(sorted(_WORDS, key=lambda w: (-len(w), w))) + r"|\S") + " select token, c as count from counts")
+def dictionary_tokens(spark, sf_dir):
+    """Tokens by a given vocabulary: its longest entry at each place, else one character."""
+    return C.token_counts(C.tokenized(texts(spark, sf_dir, "conversations").select("text"), vocabulary=list(_WORDS)))
+
+
 # ---- classes of queries that a user of SQL expects beside these -----------------------------------------------------------------------
 
 

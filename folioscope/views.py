@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import sys
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,17 @@ def register(spark: SparkSession, expressions: DataFrame, text_column: str = "te
     }
     for name, df in views.items():
         df.createOrReplaceTempView(f"{prefix}_{name}")
-    spark.udf.register("parse_status", lambda t: latex.parse_status(text_tokens(t)), "string")
+    spark.udf.register("parse_status", F.pandas_udf(parse_statuses, "string"))
     return [f"{prefix}_{name}" for name in views]
 
 
+def parse_statuses(formulas: pd.Series) -> pd.Series:
+    """Parse status of each formula of an Arrow batch."""
+    return formulas.map(lambda t: latex.parse_status(text_tokens(t)))
+
+
 def text_tokens(value: str | None) -> list[str]:
     """Tokens of one string, by the same rule as the column expression."""
-    import re
-
     return re.findall(text.token_pattern(), value or "")
 
 
