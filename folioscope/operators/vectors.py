@@ -121,10 +121,21 @@ def diverse_pair(rows: DataFrame, key: str, group: str, vector: str) -> DataFram
     return pairs.groupBy(group).agg(F.min(F.struct("cosine", "a", "b")).alias("x")).select(group, "x.a", "x.b", "x.cosine")
 
 
+#: Centers that are broadcast at once.
+CENTER_BLOCK = 10_000
+
+
 def coverage(rows: DataFrame, centers: DataFrame, vector: str, limits: list[float]) -> DataFrame:
-    """Share of rows whose best cosine with a center reaches each limit; centers are a few selected rows, broadcast."""
-    mean = normalized(centers.select(F.col(vector).alias("__v")), "__v").agg(F.collect_list("__v").alias("__all"))
-    best = normalized(rows, vector).crossJoin(F.broadcast(mean)).select(F.array_max(F.transform("__all", lambda c: dot(F.col(vector), c))).alias("best"))
+    """Share of rows whose best cosine with a center reaches each limit.
+
+    Centers are counted and broadcast in blocks of about CENTER_BLOCK, one after the other; the rows stay where they are.
+    """
+    unit = normalized(centers.select(F.col(vector).alias("__v")), "__v")
+    blocks = max(1, -(-centers.count() // CENTER_BLOCK))
+    best = normalized(rows.select(vector), vector).withColumn("best", F.lit(None).cast("double"))
+    for i in range(blocks):
+        part = unit.where(F.pmod(F.xxhash64("__v"), F.lit(blocks)) == i).agg(F.collect_list("__v").alias("__all"))
+        best = best.crossJoin(F.broadcast(part)).select(vector, F.greatest("best", F.array_max(F.transform("__all", lambda c: dot(F.col(vector), c)))).alias("best"))
     shares = best.agg(*[F.avg((F.round("best", 9) >= t).cast("double")).alias(f"t{i}") for i, t in enumerate(limits)])
     return shares.select(F.explode(F.array(*[F.struct(F.lit(t).alias("limit"), F.col(f"t{i}").alias("covered")) for i, t in enumerate(limits)])).alias("x")).select("x.*")
 

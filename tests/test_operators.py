@@ -120,6 +120,17 @@ def test_communities_follow_the_graph_to_its_end(spark):
         M.communities(path, 3)
 
 
+def test_coverage_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(0, 1, (60, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = (u @ u[:20].T).max(1).round(9)
+    for block in (10_000, 3):
+        monkeypatch.setattr(V, "CENTER_BLOCK", block)
+        got = {r.limit: r.covered for r in V.coverage(df, df.where("i < 20"), "v", [0.5, 0.8, 1.0]).collect()}
+        assert got == {t: np.mean(best >= t) for t in (0.5, 0.8, 1.0)}
+
+
 def test_fusion_has_length_one(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, b array<double>").select(V.fused(V.unit(F.col("a")), V.unit(F.col("b"))).alias("v"))
     assert np.allclose(df.first().v, np.array([0.6, 0.8, 1, 0]) / np.sqrt(2))
