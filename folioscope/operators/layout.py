@@ -39,47 +39,69 @@ def reading_order(rows: DataFrame, page: str, order: Column, cy: Column, cx: Col
 
 
 def deduplicated_boxes(rows: DataFrame, image: str, order: str, min_iou: float = 0.95, near: float = 0.02) -> DataFrame:
-    """(image, order, kept): a box goes if a kept earlier one of its label covers the same place; sequential within an image's few boxes."""
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        kept: list[tuple] = []
-        flags = []
-        for label, x0, y0, x1, y1 in frame[["label", "x0", "y0", "x1", "y1"]].itertuples(index=False):
-            same = False
-            for other, a0, b0, a1, b1 in kept:
-                w, h = min(x1, a1) - max(x0, a0), min(y1, b1) - max(y0, b0)
-                inter = max(w, 0) * max(h, 0)
-                union = (x1 - x0) * (y1 - y0) + (a1 - a0) * (b1 - b0) - inter
-                close = abs((x0 + x1) - (a0 + a1)) / 2 <= near and abs((y0 + y1) - (b0 + b1)) / 2 <= near and abs((x1 - x0) - (a1 - a0)) <= near and abs((y1 - y0) - (b1 - b0)) <= near
-                same |= other == label and union > 0 and inter / union >= min_iou and close
-            flags.append(not same)
-            if not same:
-                kept.append((label, x0, y0, x1, y1))
-        return pd.DataFrame({image: frame[image], order: frame[order], "kept": flags})
+    """(image, order, kept): a box goes if a kept earlier one of its label covers the same place; sequential within an image's few boxes.
+
+    Boxes are compared for many images at once, each with the one so many places before it; a null image is one too.
+    """
+
+    def solve(frame: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
+        label = pd.factorize(frame["label"], use_na_sentinel=False)[0]
+        x0, y0, x1, y1 = (frame[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
+        place = np.arange(len(frame)) - start
+        late, early, i, back = [], [], np.flatnonzero(place >= 1), 1
+        with np.errstate(invalid="ignore", over="ignore"):
+            while len(i):
+                j = i - back
+                a = i[(np.abs((x0[i] + x1[i]) - (x0[j] + x1[j])) / 2 <= near) & (label[i] == label[j])]
+                b = a - back
+                inter = np.maximum(np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b]), 0) * np.maximum(np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b]), 0)
+                union = (x1[a] - x0[a]) * (y1[a] - y0[a]) + (x1[b] - x0[b]) * (y1[b] - y0[b]) - inter
+                close = (np.abs((y0[a] + y1[a]) - (y0[b] + y1[b])) / 2 <= near) & (np.abs((x1[a] - x0[a]) - (x1[b] - x0[b])) <= near) & (np.abs((y1[a] - y0[a]) - (y1[b] - y0[b])) <= near)
+                same = close & (union > 0) & (inter / np.where(union > 0, union, 1) >= min_iou)
+                late.append(a[same])
+                early.append(b[same])
+                back += 1
+                i = i[place[i] >= back]
+        kept = np.ones(len(frame), bool)
+        if late:
+            late, early = np.concatenate(late), np.concatenate(early)
+            by = np.argsort(place[late], kind="stable")
+            late, early = late[by], early[by]
+            cuts = np.flatnonzero(np.r_[True, np.diff(place[late]) != 0, True]) if len(late) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                kept[late[a:b][kept[early[a:b]]]] = False
+        return pd.DataFrame({image: frame[image], order: frame[order], "kept": kept})
 
     types = dict(rows.dtypes)
-    placed = rows.select(image, order, "label", "x0", "y0", "x1", "y1").repartition(image).sortWithinPartitions(image, order)
-    return placed.mapInPandas(_by_group(image, keep), f"{image} {types[image]}, {order} {types[order]}, kept boolean")
+    placed = rows.select(image, order, "label", "x0", "y0", "x1", "y1").repartition(image).sortWithinPartitions(image, F.col(order).asc_nulls_last())
+    return placed.mapInPandas(_by_groups(image, solve), f"{image} {types[image]}, {order} {types[order]}, kept boolean")
 
 
-def _by_group(key: str, solve):
-    """Groups of a partition sorted by key, one after the other, many to a frame; a group may go over the end of a batch."""
+def _by_groups(key: str, solve):
+    """Whole groups of a partition sorted by key, many to a frame, with the place where each row's group begins; a group may go over the end of a batch."""
+
+    def begins(keys: pd.Series) -> np.ndarray:
+        null, values = keys.isna().to_numpy(), keys.to_numpy()
+        new = np.ones(len(keys), bool)
+        new[1:] = ((values[1:] != values[:-1]) | (null[1:] != null[:-1])) & ~(null[1:] & null[:-1])
+        return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
     def run(batches):
         held: list[pd.DataFrame] = []
         for b in batches:
             if not len(b):
                 continue
-            same = b[key].to_numpy() == b[key].iloc[-1]
-            done, rest = b[~same], b[same]
-            if len(done) or (held and held[-1][key].iloc[-1] != b[key].iloc[-1]):
-                whole = pd.concat([*held, done], ignore_index=True)
-                held = []
-                yield pd.concat([solve(g) for _, g in whole.groupby(key, sort=False)], ignore_index=True)
-            held.append(rest)
+            last = int(begins(b[key])[-1])
+            joins = held and not last and len(begins(pd.concat([held[-1][key].iloc[-1:], b[key].iloc[:1]], ignore_index=True)).nonzero()[0]) == 0
+            if not last and (joins or not held):
+                held.append(b)
+                continue
+            whole = pd.concat([*held, b.iloc[:last]], ignore_index=True)
+            held = [b.iloc[last:]]
+            yield solve(whole, begins(whole[key]))
         if held:
-            yield pd.concat([solve(g) for _, g in pd.concat(held, ignore_index=True).groupby(key, sort=False)], ignore_index=True)
+            whole = pd.concat(held, ignore_index=True)
+            yield solve(whole, begins(whole[key]))
 
     return run
 
